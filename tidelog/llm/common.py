@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +38,32 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose values in that column have about `most` bytes together, or one row: bounded work in Python."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < batch.num_rows:
+        done = int(size[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(size, done + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+#: Rows of a table of groups that may be broadcast: at some 300 bytes a row, 15 MB.
+FEW_GROUPS = 50_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner", most: int = FEW_GROUPS, salts: int = 64) -> DataFrame:
+    """rows joined to a written table with one row for each `key`, whatever share of the rows a key holds.
+
+    The groups are counted: up to `most` they are broadcast; beyond, each is repeated under `salts` salts and rows meet
+    them under one of these, so that a hot key is spread over as many partitions.
+    """
+    if groups.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(groups), key, how)
+    salt, = fresh(rows, "jg_salt")
+    salted = groups.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn(salt, (F.xxhash64(*rows.columns) % salts + salts).cast("int") % salts)
+    return dealt.join(salted, [key, salt], how).drop(salt)

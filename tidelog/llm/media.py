@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import pieces
 from tidelog.llm.extract import BLOCKS, DROP
 from tidelog.llm.markup import END, START, TEXT, attributes, events
 from tidelog.storage import cut
@@ -153,7 +154,7 @@ STORED = "doc_id long, n_bytes long, digest string, html string, media binary"
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (x for y in batches for x in pieces(y, 1)):
         n, digest, html, media = [], [], [], []
         for key, t in zip(b.column(0), b.column(1)):
             raw = (t.as_py() or "").encode()
@@ -175,7 +176,7 @@ FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in FEATURES.split(", ")]
-    for b in batches:
+    for b in (x for y in batches for x in pieces(y, 1)):
         rows = {}
         for d, m in zip(b.column(0).to_pylist(), b.column(1)):
             if d not in rows:
