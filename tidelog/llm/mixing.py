@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fresh, words
+from tidelog.llm.common import fresh, join_groups, words
 from tidelog.storage import cut
 
 BUCKET = 1024
@@ -141,9 +141,9 @@ def copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float =
     plan = cut(targets(rows, weights, most), "mix-targets")
     key = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce("source", F.lit("")))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    p = plan.select(F.col("source").alias("s_source"), "n", "source_size", "target", F.floor(share + EPS).alias("whole"), share.alias("share"))
-    units = rows.join(p, rows["source"].eqNullSafe(p["s_source"])).drop("s_source")
-    units = units.withColumn("p", F.greatest(F.lit(0.0), F.col("share") - F.col("whole"))).withColumn("key", key)
+    p = plan.select(key.alias("key"), "n", "source_size", "target", F.floor(share + EPS).alias("whole"), share.alias("share"))
+    units = join_groups(rows.withColumn("key", key), p, "key")
+    units = units.withColumn("p", F.greatest(F.lit(0.0), F.col("share") - F.col("whole")))
     most_n = plan.agg(F.max("n")).first()[0] or 0
     kind = "key string, doc_id long, size long, n long, whole long, p double, source string, source_size long, target double"
     names = [c.split()[0] for c in kind.split(", ")]
@@ -172,7 +172,9 @@ def stage(docs: DataFrame) -> DataFrame:
     """
     n, = fresh(docs, "mix_copies")
     got = copies(docs).groupBy(F.col("doc_id").alias("mix_id")).agg(F.sum("copies").alias(n), F.count("*").alias("mix_rows"))
-    met = docs.join(got.withColumnRenamed("mix_id", n + "_id").withColumnRenamed("mix_rows", n + "_rows"), F.col("doc_id").eqNullSafe(F.col(n + "_id")))
+    # a row a document: too many to broadcast, however few they are in a test
+    got = got.withColumnRenamed("mix_id", n + "_id").withColumnRenamed("mix_rows", n + "_rows").hint("merge")
+    met = docs.join(got, F.col("doc_id").eqNullSafe(F.col(n + "_id")))
     single = met.where(F.col(n + "_rows") == 1)
     many = met.where(F.col(n + "_rows") > 1)
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))) - 1
