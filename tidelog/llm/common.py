@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,22 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@lru_cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Give memory that a worker has freed back to the system, so that it does not lie beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    libc = _libc()
+    if libc is not None and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose values in that column have about `most` bytes together, or one row: bounded work in Python."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
@@ -49,6 +67,7 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
         to = max(at + 1, int(np.searchsorted(size, done + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    trim()
 
 
 #: Rows of a table of groups that may be broadcast: at some 300 bytes a row, 15 MB.

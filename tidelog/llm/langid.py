@@ -19,15 +19,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import pieces, trim
 from tidelog.storage import cut
 
 ORDER = 4
 #: n-grams that a model holds at most, over all languages (some 24 bytes each). Beyond it the rarest of the longest go.
-MOST = 4_000_000
+MOST = 1_500_000
 #: A text is rejected where its bits a character exceed its language's mean by MARGIN and SPREAD standard errors.
 MARGIN, SPREAD = 1.5, 8.0
 START, STOP = "\x02", "\x03"
-LONG_WORD = 64
+#: Words whose bits a worker remembers.
+WORDS = 200_000
 
 
 def crc_fold(column: str = "doc_id"):
@@ -49,7 +51,7 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (x for y in batches for x in pieces(y, 0)):
         langs = b.column(1).dictionary_encode()
         for k, lang in enumerate(langs.dictionary.to_pylist()):
             flat, _ = _split(b.column(0).filter(pc.equal(langs.indices, k)))
@@ -69,6 +71,7 @@ def _ngrams(order: int):
                     got[g] = got.get(g, 0) + n
             keys = list(got)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(got.values(), pa.int64())], names=["lang", "gram", "n"])
+        trim()
 
     return of
 
@@ -179,7 +182,7 @@ class Model:
         n = np.array([len(w) + 1 for w in words])
         flat = np.frombuffer("".join(pad).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         starts = np.cumsum([0, *(n + self.order - 1)[:-1]])
-        begin = np.repeat(starts, n) + np.concatenate([np.arange(x) for x in n])
+        begin = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         codes = flat[begin[:, None] + np.arange(self.order)]
         ends = np.cumsum(n) - n
         return np.stack([-np.add.reduceat(m.symbols(codes), ends) for m in self.langs], axis=1)
@@ -187,12 +190,12 @@ class Model:
     def _bits(self, words: list[str]) -> np.ndarray:
         new = [w for w in words if w not in self.known]
         if new:
-            if len(self.known) + len(new) > 500_000:  # a bounded memory of words
+            if len(self.known) + len(new) > WORDS:
                 self.known.clear()
                 self.table = np.zeros((0, len(self.names)))
                 new = list(words)
-            fresh = np.concatenate([self.word_bits(new[k : k + 20_000]) for k in range(0, len(new), 20_000)])
-            if len(new) > 500_000:
+            fresh = np.concatenate([self.word_bits(new[k : k + 10_000]) for k in range(0, len(new), 10_000)])
+            if len(new) > WORDS:
                 return fresh
             for w in new:
                 self.known[w] = len(self.known)
@@ -264,11 +267,11 @@ def _calibrate(model: Model, words: DataFrame) -> Model:
     sent = words.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = pickle.loads(sent.value)
+        m = _loaded(sent)
         place = {n: k for k, n in enumerate(m.names)}
         for b in batches:
             names, w, n = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False).astype(float)
-            bits = np.concatenate([m.word_bits(w[k : k + 20_000]) for k in range(0, len(w), 20_000)])[np.arange(len(w)), [place[x] for x in names]] if w else np.zeros(0)
+            bits = np.concatenate([m.word_bits(w[k : k + 10_000]) for k in range(0, len(w), 10_000)])[np.arange(len(w)), [place[x] for x in names]] if w else np.zeros(0)
             size = np.array([len(x) + 1 for x in w], float)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(n * size), pa.array(n * bits), pa.array(n * bits * bits / np.maximum(size, 1) ** 2)], names=["lang", "n", "chars", "bits", "squares"])
 
@@ -292,7 +295,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _loaded(sent)
-        for b in batches:
+        for b in (x for y in batches for x in pieces(y, 0, 2 << 20)):
             lang, score, bits, rejected = m.predict(b.column(0))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)], names=[*b.schema.names[1:], "lang_pred", "score", "bits", "rejected"])
 
