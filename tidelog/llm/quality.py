@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fresh, let, words
+from tidelog.llm.common import fresh, join_groups, let, words
 from tidelog.storage import cut
 
 #: Dimensions of the vector, and for each the spread (in log units) below which differences mean nothing.
@@ -89,11 +89,11 @@ def _pools(rows: DataFrame, least: int) -> DataFrame:
     counts = rows.groupBy("source_key", "lang_key").agg(F.count("*").alias("n"))
     small = counts.where(F.col("n") < least)
     by_lang = small.groupBy("lang_key").agg(F.sum("n").alias("n_lang"))
-    rest = by_lang.where(F.col("n_lang") < least).agg(F.coalesce(F.sum("n_lang"), F.lit(0)).alias("n_all"))
-    return (counts.join(by_lang, "lang_key", "left").join(F.broadcast(rest), how="left")  # one row
+    rest = by_lang.where(F.col("n_lang") < least).agg(F.sum("n_lang").alias("n")).first()["n"] or 0
+    return (counts.join(by_lang, "lang_key", "left")
             .select("source_key", F.when(F.col("n") >= least, F.concat(F.lit("s"), "source_key"))
                     .when(F.col("n_lang") >= least, F.concat(F.lit("l"), "lang_key"))
-                    .when(F.col("n_all") >= least, F.lit("a")).alias("pool")))
+                    .when(F.lit(rest >= least), F.lit("a")).alias("pool")))
 
 
 def _quantile(bins: Column, share: float) -> Column:
@@ -120,7 +120,7 @@ def _start(rows: DataFrame) -> DataFrame:
     long = rows.select("pool", F.posexplode(F.array(*DIMS)).alias("d", "x")).withColumn("pd", F.concat(F.col("d").cast("string"), F.lit("|"), "pool"))
     as_pool = long.select(F.col("pd").alias("pool"), F.floor(F.col("x") / step).alias("cell"))
     med = cut(_histogram(as_pool, F.col("cell"), {"med": 0.5}), "mcd-median")
-    dev = as_pool.join(med, "pool").select("pool", F.abs(F.col("cell") - F.col("med")).alias("cell"))
+    dev = join_groups(as_pool, med, "pool").select("pool", F.abs(F.col("cell") - F.col("med")).alias("cell"))
     mad = _histogram(dev, F.col("cell"), {"mad": 0.5})
     both = med.join(mad, "pool").select(
         F.substring_index("pool", "|", 1).cast("int").alias("d"),
@@ -137,9 +137,9 @@ def _start(rows: DataFrame) -> DataFrame:
 def _distance(rows: DataFrame, params: DataFrame) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance, by forward substitution in the Cholesky factor.
 
-    params is a written table, so Spark broadcasts it if its files are small and otherwise joins by hash, splitting skewed pools.
+    params is a written table with a row for each pool.
     """
-    out = rows.join(params, "pool")
+    out = join_groups(rows, params, "pool")
     for i in range(len(DIMS)):
         y = F.col(DIMS[i]) / SCALE - F.col(f"m{i}")
         for j in range(i):
@@ -201,10 +201,10 @@ def judge(docs: DataFrame, least: int = 100, share: float = 0.75, steps: int = 3
     table = cut(table.select(*keep, *names), "quality")
     rows = table.where(~F.col(failed)).select(F.col(sk).alias("source_key"), F.col(lk).alias("lang_key"), *[v.alias(d) for d, v in zip(DIMS, vector(F.col(st)))])
     pools = cut(_pools(rows, least).where("pool is not null"), "mcd-pools")
-    pooled = cut(rows.join(pools, "source_key").select("pool", *DIMS), "mcd-rows")
-    params = pools.join(fit(pooled, share, steps), "pool")
-    params = cut(params.withColumnRenamed("source_key", "mcd_source").select([F.col(c).alias("mcd_" + c.removeprefix("mcd_")) for c in params.withColumnRenamed("source_key", "mcd_source").columns]), "mcd-params")
-    out = table.join(params, table[sk] == params["mcd_source"], "left")
+    pooled = cut(join_groups(rows, pools, "source_key").select("pool", *DIMS), "mcd-rows")
+    params = pools.join(fit(pooled, share, steps), "pool").drop("pool")
+    params = cut(params.select(F.col("source_key").alias(sk), *[F.col(c).alias("mcd_" + c) for c in params.columns if c != "source_key"]), "mcd-params")
+    out = join_groups(table, params, sk, "left")
     x = dict(zip(DIMS, vector(F.col(st))))
     ys: list[Column] = []
     for i, d in enumerate(DIMS):
