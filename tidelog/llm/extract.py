@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fresh
+from tidelog.llm.common import fresh, pieces
 from tidelog.llm.markup import END, START, TEXT, attributes, events
 from tidelog.storage import cut
 
@@ -131,7 +131,7 @@ def main_text(html: str | None, templates: set[int] | frozenset[int] = frozenset
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (x for y in batches for x in pieces(y, 1)):
         hosts, pages, hashes = [], [], []
         for url, html in zip(b.column(0), b.column(1)):
             html = html.as_py() or ""
@@ -159,7 +159,7 @@ def templates(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> Dat
 def _extracted(of_host):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = of_host()
-        for b in batches:
+        for b in (x for y in batches for x in pieces(y, 2)):
             own = b.column(3) if b.num_columns > 3 else None
             texts = []
             for k, (url, html) in enumerate(zip(b.column(1), b.column(2))):
