@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fresh
+from tidelog.llm.common import fresh, pieces
 from tidelog.llm.components import components
 from tidelog.storage import cut
 
@@ -49,7 +49,7 @@ def fingerprint(text: str | None, size: int = 4) -> int:
 
 def _fingerprints(column: str, size: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for y in batches for x in pieces(y, y.schema.names.index(column))):
             got = np.array([fingerprint(t.as_py(), size) for t in b.column(b.schema.names.index(column))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
 
