@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.keyspace import buddies, split_point, splittable
+from tidelog.operators.folds import ordered_fold
 
 
 def active_ranges(ranges: DataFrame) -> DataFrame:
@@ -93,23 +94,15 @@ def read_status(log: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def sparse_index(log: DataFrame, interval: int = 4096) -> DataFrame:
-    """(topic, range_seq, seg_seq, offset, position): the first record, then the first one `interval` bytes or more after the last entry.
+    """(topic, range_seq, seg_seq, offset, position): the first record of a segment, then the first one `interval` bytes or more after the last entry."""
 
-    The fold restarts in each segment, whose size the roll bounds.
-    """
-    import pandas as pd
-
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("offset")
-        at, last, rows = 0, None, []
-        for o, b in zip(pdf["offset"], pdf["frame_bytes"]):
-            if last is None or at - last >= interval:
-                rows.append((o, at))
-                last = at
-            at += b
-        return pd.DataFrame(rows, columns=["offset", "position"]).assign(topic=pdf["topic"].iloc[0], range_seq=pdf["range_seq"].iloc[0], seg_seq=pdf["seg_seq"].iloc[0])[["topic", "range_seq", "seg_seq", "offset", "position"]]
-
-    return log.select("topic", "range_seq", "seg_seq", "offset", "frame_bytes").groupBy("topic", "range_seq", "seg_seq").applyInPandas(of, "topic string, range_seq long, seg_seq long, offset long, position long")
+    def step(state: tuple[int, int | None], offset: int, size: int):
+        at, last = state
+        if last is None or at - last >= interval:
+            return (at + size, at), (offset, at)
+        return (at + size, last), None
+
+    return ordered_fold(log, ("topic", "range_seq", "seg_seq"), ("offset",), ("offset", "frame_bytes"), lambda: (0, None), step, "topic string, range_seq long, seg_seq long, offset long, position long")
 
 
 def sparse_seek(index: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.operators.folds import ordered_fold
+
 
 def latest(audit: DataFrame, n: int = 1000, **where: str) -> DataFrame:
     """The latest n events, of a type or user if given; ties by id. Each task keeps n rows."""
@@ -57,9 +58,8 @@ def authorize(requests: DataFrame, users: DataFrame, acl: DataFrame, strict: boo
 
     Grants meet requests by user and operation; their patterns are tried within these.
     """
-    r = requests.withColumn("_r", F.monotonically_increasing_id())
     g = acl.select(F.col("username").alias("g_user"), F.col("operation").alias("g_op"), "kind", "resource")
-    hit = r.join(g, (F.col("username") == F.col("g_user")) & (F.col("operation") == F.col("g_op")) & acl_matches(F.col("kind"), F.col("resource"), F.col("topic")), "left_semi").select(*requests.columns).distinct().withColumn("granted", F.lit(True))
+    hit = requests.join(g, (F.col("username") == F.col("g_user")) & (F.col("operation") == F.col("g_op")) & acl_matches(F.col("kind"), F.col("resource"), F.col("topic")), "left_semi").select(*requests.columns).distinct().withColumn("granted", F.lit(True))
     met = requests.join(users, "username", "left").join(hit, requests.columns, "left")
     why = F.when(F.coalesce("admin", F.lit(False)), "admin").when(F.lit(not strict) & F.array_contains(F.coalesce("permissions", F.array().cast("array<string>")), F.col("operation")), "global").when(F.col("granted"), "grant").otherwise("denied")
     return met.select(*requests.columns, why.alias("why"), (why != "denied").alias("allowed"))
@@ -157,58 +157,53 @@ def exposition(topics: DataFrame, metrics: list[tuple[str, str, str, str]]) -> D
     return out.select(F.concat_ws("/", "a", "b").alias("ord"), "line")
 
 
-def _bucket(limit: int, window_ms: int):
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens = last = start = None
-        rows = []
-        for seq, now in zip(*[pdf.sort_values("seq")[c] for c in ("seq", "ts")]):
-            if last is None:
-                tokens, last, start = limit - 1, now, now
-                rows.append((seq, True, 0))
-                continue
-            more = limit if now - last >= window_ms else int((now - last) * limit / window_ms)
-            have = min(limit, tokens + more)
-            if have > 0:
-                tokens, last, start = have - 1, now, now if more > 0 else start
-                rows.append((seq, True, 0))
-            else:
-                rows.append((seq, False, max(0, start + window_ms - now)))
-        out = pd.DataFrame(rows, columns=["seq", "allowed", "retry_after_ms"])
-        return out.assign(identifier=pdf["identifier"].iloc[0], action=pdf["action"].iloc[0])[["identifier", "action", "seq", "allowed", "retry_after_ms"]]
+def bucket_step(limit: int, window_ms: int):
+    """One request against a lazily refilled bucket: state (tokens, last, start), answer (allowed, retry_after_ms).
+
+    The refill is cut to whole tokens and an allowed request forgets the rest; a refused one changes nothing.
+    """
 
-    return of
+    def step(state: tuple[int, int, int] | None, now: int):
+        if state is None:
+            return (limit - 1, now, now), (True, 0)
+        tokens, last, start = state
+        more = limit if now - last >= window_ms else int((now - last) * limit / window_ms)
+        have = min(limit, tokens + more)
+        if have > 0:
+            return (have - 1, now, now if more > 0 else start), (True, 0)
+        return state, (False, max(0, start + window_ms - now))
+
+    return step
 
 
 def token_bucket(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
-    """requests (identifier, action, seq, ts) with allowed and retry_after_ms, as a lazily refilled bucket answers them.
+    """requests (identifier, action, seq, ts) with allowed and retry_after_ms. An outcome depends on every request before it."""
+    one = bucket_step(limit, window_ms)
 
-    The refill is cut to whole tokens and forgets the rest, so the outcome depends on every request before: a fold per bucket.
-    """
-    return requests.groupBy("identifier", "action").applyInPandas(_bucket(limit, window_ms), "identifier string, action string, seq long, allowed boolean, retry_after_ms long")
+    def step(state, seq: int, now: int):
+        state, answer = one(state, now)
+        return state, (seq, *answer)
+
+    return ordered_fold(requests, ("identifier", "action"), ("seq",), ("seq", "ts"), lambda: None, step, "identifier string, action string, seq long, allowed boolean, retry_after_ms long")
 
 
 def lease_fold(commands: DataFrame) -> DataFrame:
     """commands (lease, seq, op acquire or release, candidate, fence, duration_ms, now) with the answer and the state after each."""
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        holder, fence, renewed, duration, rows = None, 0, 0, 0, []
-        for c in pdf.sort_values("seq").itertuples():
-            if c.op == "acquire":
-                if holder == c.candidate:
-                    renewed, duration, answer = c.now, c.duration_ms, f"ok {fence}"
-                elif holder is None or c.now >= renewed + duration:
-                    holder, fence, renewed, duration = c.candidate, fence + 1, c.now, c.duration_ms
-                    answer = f"ok {fence}"
-                else:
-                    answer = f"held {holder}"
+    def step(state, seq, op, candidate, fence, duration_ms, now):
+        holder, token, until = state
+        answer = "ok"
+        if op == "acquire":
+            if holder is None or holder == candidate or now >= until:
+                holder, token, until = candidate, token + (holder != candidate), now + duration_ms
+                answer = f"ok {token}"
             else:
-                if holder == c.candidate and fence == c.fence:
-                    holder = None
-                answer = "ok"
-            rows.append((c.lease, c.seq, answer, holder, fence))
-        return pd.DataFrame(rows, columns=["lease", "seq", "answer", "holder", "fence_now"])
+                answer = f"held {holder}"
+        elif holder == candidate and token == fence:
+            holder = None
+        return (holder, token, until), (seq, answer, holder, token)
 
-    return commands.groupBy("lease").applyInPandas(of, "lease string, seq long, answer string, holder string, fence_now long")
+    return ordered_fold(commands, ("lease",), ("seq",), ("seq", "op", "candidate", "fence", "duration_ms", "now"), lambda: (None, 0, 0), step, "lease string, seq long, answer string, holder string, fence_now long")
 
 
 def reservoir(samples: DataFrame, k: int, seed: int = 0) -> DataFrame:

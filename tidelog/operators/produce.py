@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.frames import frame_bytes
 from tidelog.functions.keyspace import position, within
+from tidelog.operators.folds import ordered_fold
 
 #: Ranges that are broadcast to records; more are joined by topic and block.
 FEW_RANGES = 100_000
@@ -81,27 +81,19 @@ def should_seal(bytes_: Column, age_ms: Column, state: Column, max_bytes: int, m
     return (state == "active") & ((bytes_ >= max_bytes) | (age_ms >= max_age_ms))
 
 
-def _roll(max_bytes: int):
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        seg = size = 0
-        out = []
-        for b in pdf.sort_values("batch")["bytes"]:
-            out.append(seg)
-            size += b
-            if size >= max_bytes:
-                seg, size = seg + 1, 0
-        return pdf.sort_values("batch").assign(seg_seq=out)
-
-    return of
-
-
 def segment_roll(log: DataFrame, max_bytes: int) -> DataFrame:
     """(topic, range_seq, batch, bytes, seg_seq): after a batch that fills a segment, the next one begins.
 
     A running sum with resets is sequential, but over batches, not records: bytes are summed before the fold.
     """
+
+    def step(state: tuple[int, int], batch: int, size: int):
+        seg, held = state
+        held += size
+        return (seg + 1, 0) if held >= max_bytes else (seg, held), (batch, size, seg)
+
     sums = log.groupBy("topic", "range_seq", "batch").agg(F.sum("frame_bytes").alias("bytes"))
-    return sums.groupBy("topic", "range_seq").applyInPandas(_roll(max_bytes), "topic string, range_seq long, batch long, bytes long, seg_seq long")
+    return ordered_fold(sums, ("topic", "range_seq"), ("batch",), ("batch", "bytes"), lambda: (0, 0), step, "topic string, range_seq long, batch long, bytes long, seg_seq long")
 
 
 def with_position(records: DataFrame, keyspace: int, key: str = "key") -> DataFrame:

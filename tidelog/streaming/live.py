@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tidelog.operators.ops import bucket_step
 from tidelog.operators.produce import assign_offsets, route
 
 
@@ -63,28 +64,22 @@ def limited_stream(requests: DataFrame, limit: int, window_ms: int) -> DataFrame
     """The token bucket on a stream of (identifier, action, seq, ts): state a bucket, dropped after an hour without requests."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    one = bucket_step(limit, window_ms)
+
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        tokens, last, start = state.get if state.exists else (None, None, None)
+        held = state.get if state.exists else None
         for pdf in parts:
             rows = []
             for seq, now in pdf.sort_values("seq")[["seq", "ts"]].itertuples(index=False):
-                seq, now = int(seq), int(now)
-                if last is None:
-                    tokens, last, start = limit - 1, now, now
-                    rows.append((*key, seq, True, 0))
-                    continue
-                more = limit if now - last >= window_ms else int((now - last) * limit / window_ms)
-                have = min(limit, tokens + more)
-                if have > 0:
-                    tokens, last, start = have - 1, now, now if more > 0 else start
-                    rows.append((*key, seq, True, 0))
-                else:
-                    rows.append((*key, seq, False, max(0, start + window_ms - now)))
+                held, answer = one(held, int(now))
+                rows.append((*key, int(seq), *answer))
             yield pd.DataFrame(rows, columns=["identifier", "action", "seq", "allowed", "retry_after_ms"])
-        state.update((tokens, last, start))
+        if held is None:
+            return
+        state.update(held)
         state.setTimeoutDuration(3_600_000)
 
     return requests.groupBy("identifier", "action").applyInPandasWithState(
