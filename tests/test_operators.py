@@ -2,6 +2,7 @@
 
 import random
 import struct
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -264,8 +265,12 @@ def test_token_bucket_and_stream(spark, tmp_path):
     assert [w[1] for w in want] == [True] * 5 + [False] + [True] * 3 and 0 < want[5][2] <= 100
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     s = live.limited_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 5, 100)
-    q = s.writeStream.format("memory").queryName("buckets").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = s.writeStream.format("memory").queryName("buckets").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
+    for _ in range(120):  # state that can time out keeps the query running
+        if spark.table("buckets").count() == len(want):
+            break
+        time.sleep(0.5)
+    q.stop()
     assert [(r.seq, r.allowed, r.retry_after_ms) for r in spark.table("buckets").orderBy("seq").collect()] == want
 
 
