@@ -85,8 +85,14 @@ def _hash(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def _codes(grams: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(grams), -1).astype(np.uint64)
+def _codes(grams: list[str] | pa.Array, width: int | None = None) -> np.ndarray:
+    """The code points of grams of one length, a row each; Arrow strings are joined without a Python string for each."""
+    if isinstance(grams, list):
+        joined, n = "".join(grams), len(grams)
+    else:
+        n = len(grams)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), grams), "")[0].as_py()
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width or -1)
 
 
 @dataclass
@@ -137,30 +143,29 @@ class Kn:
         return out
 
 
-def train_language(counts: list[tuple[list[str], np.ndarray]], order: int, alphabet: int) -> Kn:
-    """Interpolated Kneser-Ney from grams and their counts of each length 1..order: raw at the top, continuations below."""
+def train_language(counts: list[tuple[np.ndarray, np.ndarray]], alphabet: int) -> Kn:
+    """Interpolated Kneser-Ney from the code points of grams of length 1, 2, ... and their counts: raw at the top, continuations below."""
     grams: list[Table] = []
     backs: list[Table] = []
-    lower: dict[str, float] = {}
-    floor = 1.0 / (alphabet + 1)
-    for k in range(1, order + 1):
-        names, c = counts[k - 1]
+    lower = Table(np.zeros(0, np.uint64), np.zeros(0))
+    floor, unseen = 1.0 / (alphabet + 1), 0.0
+    for k, (codes, c) in enumerate(counts, 1):
         ones, twos = int((c == 1).sum()), int((c == 2).sum())
         d = ones / (ones + 2 * twos) if ones and twos else 0.5
-        at: dict[str, int] = {}
-        ctx = np.fromiter((at.setdefault(g[:-1], len(at)) for g in names), np.int64, len(names))
-        total = np.bincount(ctx, c, len(at))
-        kinds = np.bincount(ctx, minlength=len(at))
-        mass = d * kinds / total if len(at) else total
-        below = np.fromiter((lower.get(g[1:], 0.0) for g in names), float, len(names)) if k > 1 else np.full(len(names), floor)
-        p = np.maximum(c - d, 0) / total[ctx] + mass[ctx] * below
-        lower = dict(zip(names, p))
-        grams.append(Table.of(_hash(_codes(names)), np.log2(p)) if names else Table(np.zeros(0, np.uint64), np.zeros(0)))
+        contexts, ctx = np.unique(_hash(codes[:, :-1]), return_inverse=True)
+        total = np.bincount(ctx, c, len(contexts))
+        mass = d * np.bincount(ctx, minlength=len(contexts)) / total
+        if k > 1:
+            found, v = lower.get(_hash(codes[:, 1:]))
+            below = np.where(found, v, 0.0)
+        else:
+            below = np.full(len(codes), floor)
+        lower = Table.of(_hash(codes), np.maximum(c - d, 0) / total[ctx] + mass[ctx] * below)
+        grams.append(Table(lower.keys, np.log2(lower.values)))
         if k == 1:
-            rest = float(mass[0]) if len(at) else 1.0
-            unseen = np.log2(rest * floor)
+            unseen = np.log2((float(mass[0]) if len(contexts) else 1.0) * floor)
         else:
-            backs.append(Table.of(_hash(_codes(list(at))), np.log2(mass)) if at else Table(np.zeros(0, np.uint64), np.zeros(0)))
+            backs.append(Table(contexts, np.log2(mass)))
     return Kn(grams, backs, float(unseen))
 
 
@@ -252,11 +257,14 @@ def train(rows: DataFrame, order: int = ORDER, most: int = MOST) -> Model:
             level = cut(level, "langid-level")
         levels.append(level.withColumn("k", F.lit(k)))
     counts: dict[str, list] = {}
-    for df in levels:
-        for b in df.toPandas().groupby("lang"):
-            counts.setdefault(b[0], [None] * order)[int(b[1]["k"].iloc[0]) - 1] = (b[1]["gram"].tolist(), b[1]["n"].to_numpy(float))
-    alphabet = len({g for v in counts.values() for g in v[0][0]})
-    model = Model({lang: train_language(v, order, alphabet) for lang, v in counts.items()}, order)
+    for df in reversed(levels):
+        got = df.select("lang", "gram", "n", "k").toArrow()
+        for lang in pc.unique(got["lang"]).to_pylist():
+            of = got.filter(pc.equal(got["lang"], lang)).combine_chunks()
+            gram, = of["gram"].cast(pa.string()).chunks
+            counts.setdefault(lang, []).append((_codes(gram, of["k"][0].as_py()), of["n"].to_numpy().astype(float)))
+    alphabet = len(np.unique(np.concatenate([v[0][0].ravel() for v in counts.values()]))) if counts else 0
+    model = Model({lang: train_language(v, alphabet) for lang, v in counts.items()}, order)
     return _calibrate(model, words)
 
 
