@@ -58,6 +58,19 @@ def test_outliers_go_and_clean_documents_stay(make):
     assert again == {r.doc_id: r.distance for r in quality.judge(docs).collect()}
 
 
+def test_moderate_outliers_go(make):
+    """Menus, a few symbols and repeated lines, all within what the base rule lets pass."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(500)]
+    clean = [" ".join(rng.choices(vocabulary, k=rng.randint(80, 600))) for _ in range(400)]
+    menus = [" | ".join(rng.sample(sorted(set(vocabulary)), k)) for k in (40, 80, 150, 300)]
+    marked = [" ".join(w + "%" * (i % 3 == 0) for i, w in enumerate(rng.choices(vocabulary, k=k))) for k in (90, 400)]
+    lines = ["\n".join([" ".join(rng.choices(vocabulary, k=200)), *["home"] * 20]) for _ in range(2)]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(make(rows_of(clean + menus + marked + lines))).collect()}
+    assert all(got[k] == (False, True) for k in range(400))
+    assert all(got[k] == (False, False) for k in range(400, len(got)))
+
+
 def test_mcd_is_a_concentrated_estimate(spark):
     """The fit is a fixed point or nearly so: the covariance of the rows that it calls nearest is its own."""
     rng = np.random.default_rng(0)

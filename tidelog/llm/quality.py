@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import fresh, join_groups, let, words
 from tidelog.storage import cut
 
-#: Dimensions of the vector, and for each the spread (in log units) below which differences mean nothing.
+#: Dimensions of the vector, and for each the spread (in log units) below which differences mean nothing: a tenth of the
+#: length; the error of a mean over 50 words; one symbol in 50 words; half the step from no repeated line to one; one
+#: repeated window in 500 words.
 DIMS = ("length", "word_length", "symbols", "dup_lines", "repeats")
-FLOORS = (0.5, 0.15, 0.5, 0.7, 0.7)
+FLOORS = (0.1, 0.07, 0.3, 0.35, 0.7)
 #: Fixed-point steps of one log unit.
 SCALE = 1024
-#: Chi-square quantiles for len(DIMS) = 5 degrees of freedom: the median, and the one at a tail of 1e-9.
-CHI2_MEDIAN, CHI2_CUT = 4.351, 51.0
+#: Chi-square quantiles for len(DIMS) = 5 degrees of freedom: the median, and the one at a tail of 1e-4.
+CHI2_MEDIAN, CHI2_CUT = 4.351, 25.745
 #: Histogram cells for each doubling of 1 + d2.
 CELLS = 32
 
