@@ -71,6 +71,17 @@ def test_moderate_outliers_go(make):
     assert all(got[k] == (False, False) for k in range(400, len(got)))
 
 
+def test_few_rows_are_judged_too(make):
+    """Too few for a pool of their own: a rare language against the table, a rare source against its language."""
+    docs, clean = planted(make)
+    rows = docs.collect()
+    few = [(1000 + k, rows[k].text, lang, "rare", *rows[k][4:]) for lang in ("xx", "en") for k in (0, 1, clean)]
+    few = [(1000 + k, *r[1:]) for k, r in enumerate(few)]
+    got = {r.doc_id: r for r in quality.judge(make([tuple(r) for r in rows] + few)).collect()}
+    assert [got[1000 + k].kept for k in range(6)] == [True, True, False] * 2
+    assert all(got[1000 + k].distance is not None for k in range(6))
+
+
 def test_mcd_is_a_concentrated_estimate(spark):
     """The fit is a fixed point or nearly so: the covariance of the rows that it calls nearest is its own."""
     rng = np.random.default_rng(0)

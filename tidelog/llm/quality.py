@@ -87,15 +87,30 @@ def _key(*columns: Column) -> Column:
 
 
 def _pools(rows: DataFrame, least: int) -> DataFrame:
-    """(source_key, pool): a language and source with too few rows shares the pool of its language, then of all; else null."""
+    """(source_key, lang_key, pool): what each language and source is judged by.
+
+    s: itself; l: the small sources of its language; a: those of all such languages; where these have fewer than `least`
+    rows too, w: all rows of its language, or t: all rows of the table.
+    """
     counts = rows.groupBy("source_key", "lang_key").agg(F.count("*").alias("n"))
     small = counts.where(F.col("n") < least)
     by_lang = small.groupBy("lang_key").agg(F.sum("n").alias("n_lang"))
+    whole = counts.groupBy("lang_key").agg(F.sum("n").alias("n_all"))
     rest = by_lang.where(F.col("n_lang") < least).agg(F.sum("n_lang").alias("n")).first()["n"] or 0
-    return (counts.join(by_lang, "lang_key", "left")
-            .select("source_key", F.when(F.col("n") >= least, F.concat(F.lit("s"), "source_key"))
+    return (counts.join(by_lang, "lang_key", "left").join(whole, "lang_key")
+            .select("source_key", "lang_key", F.when(F.col("n") >= least, F.concat(F.lit("s"), "source_key"))
                     .when(F.col("n_lang") >= least, F.concat(F.lit("l"), "lang_key"))
-                    .when(F.lit(rest >= least), F.lit("a")).alias("pool")))
+                    .when(F.lit(rest >= least), F.lit("a"))
+                    .when(F.col("n_all") >= least, F.concat(F.lit("w"), "lang_key"))
+                    .otherwise(F.lit("t")).alias("pool")))
+
+
+def _members(pools: DataFrame) -> DataFrame:
+    """(source_key, pool): the languages and sources whose rows each pool's estimate is made from."""
+    own = pools.where(~F.col("pool").startswith("w") & ~F.col("pool").startswith("t")).select("source_key", "pool")
+    wide = pools.where(F.col("pool").startswith("w")).select("lang_key", "pool").distinct()
+    table = pools.where(F.col("pool") == "t").select("pool").distinct()
+    return own.union(pools.drop("pool").join(wide, "lang_key").select("source_key", "pool")).union(pools.select("source_key").crossJoin(table))
 
 
 def _quantile(bins: Column, share: float) -> Column:
@@ -188,12 +203,11 @@ def fit(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
 def judge(docs: DataFrame, least: int = 100, share: float = 0.75, steps: int = 3, cutoff: float = CHI2_CUT, whole: bool = False) -> DataFrame:
     """Base counts and the verdict of every row of docs (text, lang, source).
 
-    Returns doc_id, the five counts, base_failed, distance (null where base_failed or where there is nothing to
-    compare with) and kept; with whole=True every column of docs instead, and the same verdicts in the columns named
+    Returns doc_id, the five counts, base_failed, distance (null where base_failed) and kept; with whole=True every column of docs instead, and the same verdicts in the columns named
     by ``verdict_columns``. Null and empty texts have no words, so they fail the base rule. Rows that fail it take no
     part in the estimates. Null languages and sources are values of their own. A language and source with fewer than
     `least` rows is judged within its language's small sources, then within all such rows; with fewer than `least`
-    there, its rows are kept. Repeated rows are judged alike. An empty table gives an empty result.
+    there, against all rows of its language, or of the table where the language has fewer. Repeated rows are judged alike. An empty table gives an empty result.
     """
     names = fresh(docs, "qr_stats", "qr_failed", "qr_source", "qr_lang")
     st, failed, sk, lk = names
@@ -202,9 +216,9 @@ def judge(docs: DataFrame, least: int = 100, share: float = 0.75, steps: int = 3
     keep = [c for c in docs.columns] if whole else ["doc_id"]
     table = cut(table.select(*keep, *names), "quality")
     rows = table.where(~F.col(failed)).select(F.col(sk).alias("source_key"), F.col(lk).alias("lang_key"), *[v.alias(d) for d, v in zip(DIMS, vector(F.col(st)))])
-    pools = cut(_pools(rows, least).where("pool is not null"), "mcd-pools")
-    pooled = cut(join_groups(rows, pools, "source_key").select("pool", *DIMS), "mcd-rows")
-    params = pools.join(fit(pooled, share, steps), "pool").drop("pool")
+    pools = cut(_pools(rows, least), "mcd-pools")
+    pooled = cut(join_groups(rows, cut(_members(pools), "mcd-members"), "source_key").select("pool", *DIMS), "mcd-rows")
+    params = pools.join(fit(pooled, share, steps), "pool").drop("pool", "lang_key")
     params = cut(params.select(F.col("source_key").alias(sk), *[F.col(c).alias("mcd_" + c) for c in params.columns if c != "source_key"]), "mcd-params")
     out = join_groups(table, params, sk, "left")
     x = dict(zip(DIMS, vector(F.col(st))))
