@@ -284,6 +284,19 @@ def test_language_id(spark, odd, empty, sf):
     assert kept.columns == docs.columns and kept.count() > 0.97 * docs.count()
 
 
+def test_a_model_of_any_size_is_whole(spark, make, odd, sf):
+    """A model too large to gather gives the verdicts of a gathered one, a rare language among them."""
+    rare = make([(5000 + k, "q\u014dx z\u014dq " * 30 + f"x{k}", "rare", "a", 1, 1, "s", "f", "b") for k in range(6)])
+    docs = odd.union(rare).select("doc_id", "text", "lang").union(read(spark, sf, "documents").select("doc_id", "text", "lang"))
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.lang_pred, r.bits)
+    one, two = (sorted(langid.identify(docs, most=most).collect(), key=key) for most in (10**9, 100))
+    assert len(one) == len(two) == docs.count()
+    for a, b in zip(one, two):
+        assert (a.doc_id, a.lang_pred, a.rejected, a.held_out) == (b.doc_id, b.lang_pred, b.rejected, b.held_out)
+        assert (a.score, a.bits) == pytest.approx((b.score, b.bits), abs=1e-6)
+    assert {r.lang_pred for r in two if 5000 <= (r.doc_id or 0) < 5006} == {"rare"}
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over the alphabet and the unseen symbol, each context's probabilities sum to one."""
     docs = spark.createDataFrame([("abab abba baab", "x"), ("abc cab", "x")], "text string, lang string")

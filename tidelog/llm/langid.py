@@ -5,6 +5,9 @@ predicted from the characters before them. Spark counts words per language over
 words' n-grams, then continuation counts; so what is gathered follows the corpus. A language's model is kept as sorted
 hash arrays: interpolated log probabilities of seen n-grams and back-off weights of seen contexts. A text's score is
 its cross-entropy in bits a character, found once for each distinct word of a batch.
+
+Every counted n-gram is in the model. Up to MOST of them the arrays are made by the driver and broadcast; a larger model
+stays in tables of the shared folder, made by the same formulas, and the texts' distinct words and n-grams are joined to it.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import pieces, trim
+from tidelog.llm.common import join_groups, pieces, trim
 from tidelog.storage import cut
 
 ORDER = 4
-#: n-grams that a model holds at most, over all languages (some 24 bytes each). Beyond it the rarest of the longest go.
+#: n-grams of the full order, over all languages, up to which a model is gathered and broadcast (some 24 bytes each); a larger one is joined.
 MOST = 1_500_000
 #: A text is rejected where its bits a character exceed its language's mean by MARGIN and SPREAD standard errors.
 MARGIN, SPREAD = 1.5, 8.0
@@ -223,41 +226,47 @@ class Model:
         owner = np.repeat(np.arange(n), per)
         chars = np.bincount(owner, size[at] if len(at) else None, n)
         total = np.stack([np.bincount(owner, bits[at, k] if len(at) else None, n) for k in range(len(self.names))], axis=1)
-        h = total / np.maximum(chars, 1)[:, None]
-        best = h.argmin(1)
-        low = h[np.arange(n), best]
-        # a posterior tempered by the square root of the length: neighbouring characters are not independent
-        gap = (h - low[:, None]) * np.sqrt(np.maximum(chars, 1))[:, None]
-        score = 1.0 / np.exp2(-np.minimum(gap, 60)).sum(1)
-        mean, sd = np.array([m.mean for m in self.langs])[best], np.array([m.sd for m in self.langs])[best]
-        rejected = ~letter | (low > mean + MARGIN + SPREAD * sd / np.sqrt(np.maximum(per, 1)))
-        lang = [self.names[b] if ok else "und" for b, ok in zip(best, letter)]
-        return lang, np.where(letter, score, 0.0), low, rejected
-
-
-def train(rows: DataFrame, order: int = ORDER, most: int = MOST) -> Model:
-    """A model from rows (text, lang). Null texts and languages are left out; no rows: a model without languages.
-
-    The driver receives at most `most` n-grams with their counts: beyond that, the rarest n-grams of the full order
-    are left to their back-off, by raising the least count. Sums over any number of rows are made by Spark.
+        return verdicts(self.names, np.array([[m.mean, m.sd] for m in self.langs]), total, chars, per, letter)
+
+
+def verdicts(names: list[str], scale: np.ndarray, total: np.ndarray, chars: np.ndarray, per: np.ndarray, letter: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(language, score, bits a character, rejected) of texts from their bits under each language, characters, words and whether they have a letter."""
+    n = len(total)
+    h = total / np.maximum(chars, 1)[:, None]
+    best = h.argmin(1)
+    low = h[np.arange(n), best]
+    # a posterior tempered by the square root of the length: neighbouring characters are not independent
+    gap = (h - low[:, None]) * np.sqrt(np.maximum(chars, 1))[:, None]
+    score = 1.0 / np.exp2(-np.minimum(gap, 60)).sum(1)
+    mean, sd = scale[best, 0], scale[best, 1]
+    rejected = ~letter | (low > mean + MARGIN + SPREAD * sd / np.sqrt(np.maximum(per, 1)))
+    lang = [names[b] if ok else "und" for b, ok in zip(best, letter)]
+    return lang, np.where(letter, score, 0.0), low, rejected
+
+
+def train(rows: DataFrame, order: int = ORDER, most: int = MOST) -> Model | Joined:
+    """A model of all n-grams of rows (text, lang). Null texts and languages are left out; no rows: a model without languages.
+
+    The driver receives the n-grams with their counts where they are at most `most` of the full order; a larger model is
+    made of tables and holds the same values. Sums over any number of rows are made by Spark.
     """
     rows = rows.where("text is not null and lang is not null").select("text", "lang")
     words = rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = cut(words, "langid-words")
-    top = cut(words.mapInArrow(_ngrams(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams")
-    least = 1
-    while top.where(F.col("n") >= least).limit(most + 1).count() > most:
-        least *= 2
-    level = top.where(F.col("n") >= least)
+    level = cut(words.mapInArrow(_ngrams(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams")
+    large = level.limit(most + 1).count() > most
     levels = [level.withColumn("k", F.lit(order))]
     for k in range(order - 1, 0, -1):
         # continuation counts: the different characters before a (k)-gram
         level = level.select("lang", F.substring("gram", 2, order).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
-        if k > 1:
+        if k > 1 or large:
             level = cut(level, "langid-level")
         levels.append(level.withColumn("k", F.lit(k)))
+    levels.reverse()
+    if large:
+        return _train_tables(levels, words, order)
     counts: dict[str, list] = {}
-    for df in reversed(levels):
+    for df in levels:
         got = df.select("lang", "gram", "n", "k").toArrow()
         for lang in pc.unique(got["lang"]).to_pylist():
             of = got.filter(pc.equal(got["lang"], lang)).combine_chunks()
@@ -268,6 +277,80 @@ def train(rows: DataFrame, order: int = ORDER, most: int = MOST) -> Model:
     return _calibrate(model, words)
 
 
+@dataclass
+class Joined:
+    """A model in tables: for k = 1..order, (lang, gram, v) with log2 probabilities; for k = 1..order-1, (lang, context, w) with log2 back-off."""
+
+    names: list[str]
+    order: int
+    grams: list[DataFrame]
+    backs: list[DataFrame]
+    floor: DataFrame  # (lang, floor)
+    scale: np.ndarray | None = None  # mean and sd of each language
+
+    def word_bits(self, words: DataFrame) -> DataFrame:
+        """(word, bits) of different words: bits of each (with its end mark) under each language, in the order of names."""
+        order = self.order
+        parts = words.select("word", F.concat(F.lit(START * (order - 1)), "word", F.lit(STOP)).alias("w"))
+        parts = parts.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - (order - 1)), lambda i: F.substring(F.col("w"), i, F.lit(order)))).alias("gram"))
+        parts = cut(parts.groupBy("word", "gram").agg(F.count("*").alias("times")), "langid-parts")
+        out = parts.select("gram").distinct().join(F.broadcast(self.floor))
+        bits = F.col("floor")
+        for k in range(1, order + 1):
+            tail = F.substring(F.col("gram"), order - k + 1, k)
+            out = out.withColumn("tail", tail).join(self.grams[k - 1].select("lang", F.col("gram").alias("tail"), F.col("v").alias(f"v{k}")), ["lang", "tail"], "left").drop("tail")
+            if k > 1:
+                context = F.substring(F.col("gram"), order - k + 1, k - 1)
+                out = out.withColumn("context", context).join(self.backs[k - 2].select("lang", "context", F.col("w").alias(f"w{k}")), ["lang", "context"], "left").drop("context")
+                bits = bits + F.coalesce(F.col(f"w{k}"), F.lit(0.0))
+            bits = F.coalesce(F.col(f"v{k}"), bits)
+        by_gram = out.select("gram", F.struct("lang", (-bits).alias("b")).alias("x")).groupBy("gram").agg(F.sort_array(F.collect_list("x")).alias("x"))
+        by_gram = cut(by_gram.select("gram", F.col("x.b").alias("b")), "langid-gram-bits")
+        sums = [F.sum(F.col("times") * F.col("b")[i]) for i in range(len(self.names))]
+        return cut(join_groups(parts, by_gram, "gram").groupBy("word").agg(F.array(*sums).alias("bits")), "langid-word-bits")
+
+
+def _train_tables(levels: list[DataFrame], words: DataFrame, order: int) -> Joined:
+    """What train_language and _calibrate do, by joins: levels (lang, gram, n) of length 1, 2, ... and the counted words."""
+    alphabet = levels[0].select("gram").distinct().count()
+    base = 1.0 / (alphabet + 1)
+    grams, backs, floor = [], [], None
+    for k, level in enumerate(levels, 1):
+        of = lambda x: F.count(F.when(F.col("n") == x, 1)).cast("double")
+        d = level.groupBy("lang").agg(of(1).alias("ones"), of(2).alias("twos"))
+        d = d.select("lang", F.when((F.col("ones") > 0) & (F.col("twos") > 0), F.col("ones") / (F.col("ones") + 2 * F.col("twos"))).otherwise(0.5).alias("d"))
+        level = level.select("lang", "gram", "n", F.substring("gram", 1, k - 1).alias("context"))
+        contexts = level.groupBy("lang", "context").agg(F.sum("n").cast("double").alias("total"), F.count("*").alias("types")).join(F.broadcast(d), "lang")
+        contexts = cut(contexts.withColumn("mass", F.col("d") * F.col("types") / F.col("total")), "langid-contexts")
+        if k == 1:
+            level = level.join(F.broadcast(contexts), ["lang", "context"]).withColumn("below", F.lit(base))
+            floor = contexts.select("lang", F.log2(F.col("mass") * base).alias("floor"))
+        else:
+            lower = grams[-1].select("lang", F.col("gram").alias("tail"), F.col("p").alias("below"))
+            level = level.join(contexts, ["lang", "context"]).withColumn("tail", F.substring("gram", 2, order)).join(lower, ["lang", "tail"], "left").na.fill(0.0, ["below"])
+            backs.append(contexts.select("lang", "context", F.log2("mass").alias("w")))
+        p = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("mass") * F.col("below")
+        level = level.select("lang", "gram", p.alias("p"))
+        grams.append(cut(level.withColumn("v", F.log2("p")), "langid-model"))
+    floor = cut(floor, "langid-floor")
+    model = Joined(sorted(r["lang"] for r in floor.collect()), order, grams, backs, floor)  # a row a language
+    place = F.create_map(*[x for i, n in enumerate(model.names) for x in (F.lit(n), F.lit(i))])
+    rows = join_groups(words, model.word_bits(words.select("word").distinct()), "word").select("lang", F.col("n").cast("double").alias("n"), F.length("word") + 1, F.get("bits", place[F.col("lang")])).toDF("lang", "n", "size", "b")
+    rows = rows.select("lang", "n", (F.col("n") * F.col("size")).alias("chars"), (F.col("n") * F.col("b")).alias("bits"), (F.col("n") * F.pow(F.col("b") / F.col("size"), 2)).alias("squares"))
+    model.scale = np.zeros((len(model.names), 2))
+    for r in _sums(rows).collect():  # a row a language
+        model.scale[model.names.index(r["lang"])] = _scale(r)
+    return model
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "bits", "squares")])
+
+
+def _scale(r) -> tuple[float, float]:
+    return r["bits"] / max(r["chars"], 1), float(np.sqrt(max(r["squares"] / max(r["n"], 1), 0.01)))
+
+
 def _calibrate(model: Model, words: DataFrame) -> Model:
     """Mean bits a character of each language, and the spread of a word's, from its own counted words."""
     if not model.names:
@@ -283,20 +366,21 @@ def _calibrate(model: Model, words: DataFrame) -> Model:
             size = np.array([len(x) + 1 for x in w], float)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(n * size), pa.array(n * bits), pa.array(n * bits * bits / np.maximum(size, 1) ** 2)], names=["lang", "n", "chars", "bits", "squares"])
 
-    got = words.mapInArrow(of, "lang string, n double, chars double, bits double, squares double").groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "bits", "squares")])
+    got = _sums(words.mapInArrow(of, "lang string, n double, chars double, bits double, squares double"))
     for r in got.collect():  # a row a language
         kn = model.langs[model.names.index(r["lang"])]
-        kn.mean = r["bits"] / max(r["chars"], 1)
-        kn.sd = float(np.sqrt(max(r["squares"] / max(r["n"], 1), 0.01)))
+        kn.mean, kn.sd = _scale(r)
     return model
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | Joined, keep: list[str] | None = None) -> DataFrame:
     """doc_id, lang_pred, score, bits, rejected of every row of docs, from its text alone.
 
     und, score 0 and rejected: null texts, texts without a letter, and all texts if no language was learned. rejected
     also where the text fits no language. keep: columns to return instead of doc_id.
     """
+    if isinstance(model, Joined):
+        return _predict_joined(docs, model, keep or ["doc_id"])
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     keep = keep or ["doc_id"]
     rows = docs.select("text", *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
@@ -313,6 +397,37 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "bits", "rejected")
 
 
+def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, word, n) of every different word of each text."""
+    for b in (x for y in batches for x in pieces(y, 1)):
+        flat, per = _split(b.column(1))
+        rows = pa.array(np.repeat(b.column(0).to_numpy(), per))
+        got = pa.table({"row": rows, "word": flat.cast(pa.string())}).group_by(["row", "word"]).aggregate([([], "count_all")]).select(["row", "word", "count_all"])
+        yield from got.rename_columns(["row", "word", "n"]).combine_chunks().to_batches()
+
+
+def _predict_joined(docs: DataFrame, model: Joined, keep: list[str]) -> DataFrame:
+    """predict by joins; rows are numbered in a written table, so repeated rows keep their own verdicts."""
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "text", *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]), "langid-rows")
+    found = cut(rows.select("row", "text").mapInArrow(_doc_words, "row long, word string, n long"), "langid-doc-words")
+    known = model.word_bits(found.select("word").distinct())
+    scored = join_groups(found, known, "word").groupBy("row").agg(
+        F.array(*[F.sum(F.col("n") * F.col("bits")[i]) for i in range(len(model.names))]).alias("total"),
+        F.sum(F.col("n") * (F.length("word") + 1)).alias("chars"), F.sum("n").alias("per"))
+    names, scale = model.names, model.scale
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = np.array([x or [0.0] * len(names) for x in b.column(1).to_pylist()], float).reshape(b.num_rows, len(names))
+            chars, per, letter = (np.array(pc.fill_null(b.column(i), False if i == 4 else 0)) for i in (2, 3, 4))
+            lang, score, bits, rejected = verdicts(names, scale, total, chars, per, letter)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)], names=["row", "lang_pred", "score", "bits", "rejected"])
+
+    letters = rows.select("row", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    said = letters.join(scored, "row", "left").select("row", "total", "chars", "per", "letter").mapInArrow(of, "row long, lang_pred string, score double, bits double, rejected boolean")
+    return rows.join(said, "row").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "bits", "rejected")
+
+
 _models: dict[int, Model] = {}
 
 
@@ -326,14 +441,14 @@ def _loaded(sent) -> Model:
     return _models[key]
 
 
-def identify(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def identify(docs: DataFrame, order: int = ORDER, most: int = MOST) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits, rejected of every row of docs.
 
     Learns from rows whose crc32(doc_id as text) mod 3 is not 1. An empty table gives an empty result; a null doc_id
     counts as the empty text there.
     """
     rows = docs.select("doc_id", "text", "lang", (crc_fold() == 1).alias("held_out"))
-    model = train(rows.where(~F.col("held_out")), order)
+    model = train(rows.where(~F.col("held_out")), order, most)
     out = predict(rows, model, ["doc_id", "held_out"])
     return out
 
