@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,6 +285,27 @@ def test_language_id(spark, odd, empty, sf):
     assert kept.columns == docs.columns and kept.count() > 0.97 * docs.count()
 
 
+def test_foreign_mixed_and_random_texts_are_rejected(spark):
+    """By models that have not seen French; own-language texts of the same lengths stay."""
+    docs = read(spark, "/root/testdata/sf0.01", "documents").where("text is not null")
+    model = langid.train(docs.where("lang <> 'fr'"))
+    tokens = {x: " ".join(r.text for r in docs.where(F.col("lang") == x).orderBy("doc_id").limit(40).collect()).split() for x in ("en", "fr")}
+    rng = random.Random(5)
+
+    def part(lang, n):
+        at = rng.randrange(len(tokens[lang]) - n)
+        return tokens[lang][at : at + n]
+
+    def rejected(make, n):
+        return model.predict(pa.array([" ".join(make(n)) for _ in range(40)]))[3].mean()
+
+    for n in (50, 60, 100, 200):
+        assert rejected(lambda n: part("en", n), n) == 0
+        assert rejected(lambda n: part("fr", n), n) > 0.9
+        assert rejected(lambda n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n)], n) == 1
+        assert rejected(lambda n: part("en", n // 2) + part("fr", n // 2), n) > (0.5 if n < 100 else 0.9)
+
+
 def test_a_model_of_any_size_is_whole(spark, make, odd, sf):
     """A model too large to gather gives the verdicts of a gathered one, a rare language among them."""
     rare = make([(5000 + k, "q\u014dx z\u014dq " * 30 + f"x{k}", "rare", "a", 1, 1, "s", "f", "b") for k in range(6)])

@@ -29,7 +29,7 @@ ORDER = 4
 #: n-grams of the full order, over all languages, up to which a model is gathered and broadcast (some 24 bytes each); a larger one is joined.
 MOST = 1_500_000
 #: A text is rejected where its bits a character exceed its language's mean by MARGIN and SPREAD standard errors.
-MARGIN, SPREAD = 1.5, 8.0
+MARGIN, SPREAD = 0.75, 8.0
 START, STOP = "\x02", "\x03"
 #: Words whose bits a worker remembers.
 WORDS = 200_000
@@ -336,19 +336,24 @@ def _train_tables(levels: list[DataFrame], words: DataFrame, order: int) -> Join
     model = Joined(sorted(r["lang"] for r in floor.collect()), order, grams, backs, floor)  # a row a language
     place = F.create_map(*[x for i, n in enumerate(model.names) for x in (F.lit(n), F.lit(i))])
     rows = join_groups(words, model.word_bits(words.select("word").distinct()), "word").select("lang", F.col("n").cast("double").alias("n"), F.length("word") + 1, F.get("bits", place[F.col("lang")])).toDF("lang", "n", "size", "b")
-    rows = rows.select("lang", "n", (F.col("n") * F.col("size")).alias("chars"), (F.col("n") * F.col("b")).alias("bits"), (F.col("n") * F.pow(F.col("b") / F.col("size"), 2)).alias("squares"))
+    rows = rows.select("lang", "n", (F.col("n") * F.col("size")).alias("chars"), (F.col("n") * F.col("b")).alias("bits"), (F.col("n") * F.col("b") / F.col("size")).alias("rates"), (F.col("n") * F.pow(F.col("b") / F.col("size"), 2)).alias("squares"))
     model.scale = np.zeros((len(model.names), 2))
     for r in _sums(rows).collect():  # a row a language
         model.scale[model.names.index(r["lang"])] = _scale(r)
     return model
 
 
+#: Over a language's words: their number, characters, bits, bits a character, and the squares of these.
+SUMS = ("n", "chars", "bits", "rates", "squares")
+
+
 def _sums(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "bits", "squares")])
+    return rows.groupBy("lang").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
 def _scale(r) -> tuple[float, float]:
-    return r["bits"] / max(r["chars"], 1), float(np.sqrt(max(r["squares"] / max(r["n"], 1), 0.01)))
+    n = max(r["n"], 1)
+    return r["bits"] / max(r["chars"], 1), float(np.sqrt(max(r["squares"] / n - (r["rates"] / n) ** 2, 0.01)))
 
 
 def _calibrate(model: Model, words: DataFrame) -> Model:
@@ -364,9 +369,9 @@ def _calibrate(model: Model, words: DataFrame) -> Model:
             names, w, n = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False).astype(float)
             bits = np.concatenate([m.word_bits(w[k : k + 10_000]) for k in range(0, len(w), 10_000)])[np.arange(len(w)), [place[x] for x in names]] if w else np.zeros(0)
             size = np.array([len(x) + 1 for x in w], float)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(n * size), pa.array(n * bits), pa.array(n * bits * bits / np.maximum(size, 1) ** 2)], names=["lang", "n", "chars", "bits", "squares"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(n * size), pa.array(n * bits), pa.array(n * bits / size), pa.array(n * (bits / size) ** 2)], names=["lang", *SUMS])
 
-    got = _sums(words.mapInArrow(of, "lang string, n double, chars double, bits double, squares double"))
+    got = _sums(words.mapInArrow(of, "lang string, " + ", ".join(f"{c} double" for c in SUMS)))
     for r in got.collect():  # a row a language
         kn = model.langs[model.names.index(r["lang"])]
         kn.mean, kn.sd = _scale(r)
