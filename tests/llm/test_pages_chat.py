@@ -75,6 +75,14 @@ def test_templates_are_removed(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+def test_hosts_of_odd_urls_are_the_same_in_both_branches(spark):
+    urls = ["http://my_shop.com/%d", "http://a.com/x y|%d", "http://b.com/{%d}", "http://c.com/<%d>^\"", "http://[2001:db8::1]/%d", "HTTP://D.com:80/%d"]
+    rows = [(100 * j + k, u % k, f"<body><div>Shop {j} of the year</div><div>text {k}</div></body>", "x", "y") for j, u in enumerate(urls) for k in range(30)]
+    df = spark.createDataFrame(rows, PAGES)
+    for broadcast in (extract.BROADCAST, 0):
+        assert {r.page_id: r.text for r in extract.extract(df, broadcast=broadcast).collect()} == {r[0]: f"text {r[0] % 100}" for r in rows}
+
+
 def test_pages_of_the_test_data(spark, sf):
     """Every page there is one article of paragraphs, which a few replacements turn into its text."""
     import html as h

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fresh, pieces
+from tidelog.llm.common import pieces
 from tidelog.llm.markup import END, START, TEXT, attributes, events
 from tidelog.storage import cut
 
@@ -156,6 +156,12 @@ def templates(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> Dat
     return counts.where(F.col("hash").isNotNull()).join(totals, "host").where(F.col("n") >= F.greatest(F.lit(float(least)), share * F.col("total"))).select("host", "hash")
 
 
+def _with_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A last column with host_of the url, so that pages meet templates under the name that these were counted by."""
+    for b in (x for y in batches for x in pieces(y, 2)):
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(host_of, b.column(1).to_pylist()), pa.string())], names=[*b.schema.names, "ex_host"])
+
+
 def _extracted(of_host):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = of_host()
@@ -186,7 +192,6 @@ def extract(pages: DataFrame, least: int = LEAST, share: float = SHARE, broadcas
             by_host.setdefault(r["host"], []).append(r["hash"])
         sent = pages.sparkSession.sparkContext.broadcast({h: frozenset(v) for h, v in by_host.items()})
         return rows.mapInArrow(_extracted(lambda: sent.value), schema)
-    host, = fresh(rows, "ex_host")
-    sets = found.groupBy(F.col("host").alias(host)).agg(F.collect_list("hash").alias("ex_hashes"))
-    with_host = rows.withColumn(host, F.coalesce(F.lower(F.try_parse_url("url", F.lit("HOST"))), F.lit("")))
-    return with_host.join(sets, host, "left").select("page_id", "url", "html", "ex_hashes").mapInArrow(_extracted(dict), schema)
+    sets = found.groupBy(F.col("host").alias("ex_host")).agg(F.collect_list("hash").alias("ex_hashes"))
+    with_host = rows.mapInArrow(_with_hosts, "page_id long, url string, html string, ex_host string")
+    return with_host.join(sets, "ex_host", "left").select("page_id", "url", "html", "ex_hashes").mapInArrow(_extracted(dict), schema)
