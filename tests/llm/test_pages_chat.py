@@ -83,6 +83,14 @@ def test_hosts_of_odd_urls_are_the_same_in_both_branches(spark):
         assert {r.page_id: r.text for r in extract.extract(df, broadcast=broadcast).collect()} == {r[0]: f"text {r[0] % 100}" for r in rows}
 
 
+def test_what_recurs_in_articles_is_text(spark):
+    """Cells, items and wrapped paragraphs of an article stay, on hosts of 9 pages and of 30; templates around it and marked boxes go."""
+    page = lambda k: f"<body><div>Shop</div><article><table><tr><th>Total</th><td>Yes</td><td>{k}</td></tr></table><ul><li>Salt</li></ul><div><p>Wrapped</p></div><div class=share>Like</div></article><div>End</div></body>"
+    rows = [(k, f"http://{'few' if k < 9 else 'many'}.com/{k}", page(k), "x", "y") for k in range(39)]
+    got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {k: f"Total\nYes\n{k}\nSalt\nWrapped" for k in range(39)}
+
+
 def test_pages_of_the_test_data(spark, sf):
     """Every page there is one article of paragraphs, which a few replacements turn into its text."""
     import html as h

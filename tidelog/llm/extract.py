@@ -30,8 +30,6 @@ DROP = frozenset("head nav footer aside form script style noscript template svg
 #: Words of class, id and role that mark boilerplate.
 MARKS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer contentinfo ad ads advert adverts advertisement advertising adsense sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription comment comments disqus respond share sharing social related recommended widget login signup search complementary dialog alert form masthead pagination pager".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-#: In an article these are content even where they recur.
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 HASHED = BLOCKS - {"html", "body", "hr"} | {"head", "span", "script"}
 _WORDS = re.compile(r"[a-z0-9]+")
 _MARK = re.compile(r"\b(?:class|id|role)\b", re.I)
@@ -48,7 +46,8 @@ def host_of(url: str | None) -> str:
 def subtrees(page: list[tuple]) -> dict[int, int]:
     """Position of a start event -> hash of its subtree (tags and text with white space folded), where it may be a template.
 
-    Left out: an article or main element, what holds one, and prose inside one.
+    Left out: an article or main element, what holds one, and all that is inside one: its list items, cells and boxes are
+    content even where they recur, unless the page marks them as boilerplate.
     """
     out: dict[int, int] = {}
     parts: list[list[bytes]] = [[]]
@@ -64,15 +63,17 @@ def subtrees(page: list[tuple]) -> dict[int, int]:
             inside += what in ROOTS
         else:
             at, tag, holds = frames.pop()
-            h = xxhash.xxh3_64_intdigest(b"\0".join(parts.pop()))
-            parts[-1].append(b"\1" + h.to_bytes(8, "big"))
+            own = parts.pop()
             root = tag in ROOTS
             inside -= root
             if root or holds:
                 if frames:
                     frames[-1][2] = True
-            elif tag in HASHED and not (inside and tag in PROSE):
-                out[at] = h - (1 << 64) if h >> 63 else h
+            elif not inside:
+                h = xxhash.xxh3_64_intdigest(b"\0".join(own))
+                parts[-1].append(b"\1" + h.to_bytes(8, "big"))
+                if tag in HASHED:
+                    out[at] = h - (1 << 64) if h >> 63 else h
     return out
 
 
