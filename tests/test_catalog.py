@@ -40,3 +40,8 @@ def test_query_equals_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("name", ["locate_every", "sparse_seek_every"])
+def test_lookups_cover_the_whole_log(spark, sf, name):
+    assert catalog.QUERIES[name](spark, sf).count() == catalog.QUERIES["produce_log"](spark, sf).count()

@@ -266,6 +266,12 @@ def locate_segment(x):
     return metadata.locate(x.segments, x.log.where("event_id % 7 = 0").select("topic", "range_seq", "offset"))
 
 
+@query(" select l.topic, l.range_seq, l.off, s.seg_seq, s.start_offset from log l asof join segments s on l.topic = s.topic and l.range_seq = s.range_seq and l.off >= s.start_offset")
+def locate_every(x):
+    """The segment of every log row."""
+    return metadata.locate(x.segments, x.log.select("topic", "range_seq", "offset"))
+
+
 @query("select topic, range_seq, off, event_id from log where topic = 'view' and range_seq = 2 and off >= 5 order by off limit 20")
 def segment_read(x):
     return metadata.segment_read(x.log, "view", 2, 5, 20).select("topic", "range_seq", "offset", "event_id")
@@ -288,6 +294,16 @@ def sparse_seek(x):
     return metadata.sparse_seek(index, x.log.where("event_id % 11 = 0").select("topic", "range_seq", F.col("offset").alias("target")))
 
 
+@query(", i as (select topic, range_seq, off, sum(frame_bytes) over (partition by topic, range_seq order by off) - frame_bytes p from log), k as (select * from i where off % 16 = 0) select l.topic, l.range_seq, l.off target, k.off, p::bigint as position from log l asof join k on l.topic = k.topic and l.range_seq = k.range_seq and l.off >= k.off")
+def sparse_seek_every(x):
+    """sparse_seek for the offset of every log row."""
+    from pyspark.sql import Window as W
+
+    before = F.sum("frame_bytes").over(W.partitionBy("topic", "range_seq").orderBy("offset")) - F.col("frame_bytes")
+    index = x.log.withColumn("position", before).where("offset % 16 = 0").select("topic", "range_seq", "offset", "position")
+    return metadata.sparse_seek(index, x.log.select("topic", "range_seq", F.col("offset").alias("target")))
+
+
 @query()
 def sparse_index(x):
     log = x.log.withColumn("seg_seq", F.expr("event_id div 500"))
