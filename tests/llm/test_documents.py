@@ -330,6 +330,59 @@ def test_kneser_ney_sums_to_one(spark):
         assert np.exp2(kn.symbols(codes)).sum() == pytest.approx(1.0, abs=1e-9)
 
 
+def _kneser_ney(words, order, alphabet):
+    """log2 p(c | context) from the definition, by recursion over plain dictionaries."""
+    levels = [collections.Counter()]
+    for w, n in words.items():
+        w = langid.START * (order - 1) + w + langid.STOP
+        for k in range(len(w) - order + 1):
+            levels[0][w[k : k + order]] += n
+    while len(levels) < order:
+        levels.append(collections.Counter(g[1:] for g in levels[-1]))
+    levels.reverse()
+
+    def p(context, c):
+        counts = levels[len(context)]
+        ones, twos = sum(n == 1 for n in counts.values()), sum(n == 2 for n in counts.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        seen = {g: n for g, n in counts.items() if g[:-1] == context}
+        below = p(context[1:], c) if context else 1 / (alphabet + 1)
+        if not seen:
+            return below
+        total = sum(seen.values())
+        return max(seen.get(context + c, 0) - d, 0) / total + d * len(seen) / total * below
+
+    return lambda context, c: np.log2(p(context, c))
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_equals_its_definition(spark, order):
+    rng = random.Random(order)
+    texts = {lang: [" ".join("".join(rng.choices(letters, k=rng.randint(1, 5))) for _ in range(40)) for _ in range(20)] for lang, letters in (("x", "abc"), ("y", "bcde"))}
+    rows = spark.createDataFrame([(t, lang) for lang, ts in texts.items() for t in ts], "text string, lang string")
+    held = {r.text for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(langid.HELD)) == 0).collect()}
+    counts = {lang: collections.Counter(w for t in ts if t not in held for w in t.split()) for lang, ts in texts.items()}
+    model = langid.train(rows, order)
+    alphabet = len({c for w in counts.values() for x in w for c in x} | {langid.STOP})
+    assert model.names == ["x", "y"] and held
+    want = [_kneser_ney(counts[lang], order, alphabet) for lang in model.names]
+    grams = ["".join(rng.choices("abcdef" + langid.STOP, k=order)) for _ in range(200)] + [langid.START * (order - 1) + c for c in "abf"]
+    got = model.symbols(langid._codes(grams))
+    for g, row in zip(grams, got):
+        assert row == pytest.approx([w(g[:-1], g[-1]) for w in want], abs=1e-9)
+
+
+def test_scripts_never_seen_and_gibberish_are_rejected(spark):
+    """With blanks and without, short and long; texts of the languages learned stay, but for one in a hundred."""
+    docs = read(spark, "/root/testdata/sf0.1", "documents").where("text is not null")
+    model = langid.train(docs.where(langid.crc_fold() != 1))
+    strange = ["\u65e5\u672c\u8a9e\u306e\u6587\u7ae0", "\u0e1b\u0e23\u0e30\u0e40\u0e17\u0e28\u0e44\u0e17\u0e22", "\u4e2d\u534e\u4eba\u6c11\u5171\u548c\u56fd", "\u041f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440", "qzxvjkwq", "xxxx", "wq zx kv"]
+    texts = [sep.join([t] * n) for t in strange for n in (2, 20, 80) for sep in ("", " ")]
+    assert model.predict(pa.array(texts))[3].all()
+    held = docs.where(langid.crc_fold() == 1).select("text").toArrow()["text"].combine_chunks()
+    assert model.predict(held.cast(pa.string()))[3].mean() < 0.01
+
+
 def test_media(odd, empty):
     text = {r.doc_id: (r.text or "").encode() for r in odd.collect()}
     got = media.document_media(odd).collect()

@@ -1,11 +1,15 @@
 """Language identification by interpolated Kneser-Ney character models, one a language.
 
 Text is lower-cased and split into words; a word's characters, with start marks before and an end mark after, are
-predicted from the characters before them. Spark counts words per language over all training rows, then the distinct
+predicted from the characters before them. Spark counts words per language over the training rows, then the distinct
 words' n-grams, then continuation counts; so what is gathered follows the corpus. A language's model is kept as sorted
 hash arrays: interpolated log probabilities of seen n-grams and back-off weights of seen contexts. A text's score is
 its cross-entropy in bits a character, found once for each distinct word of a batch.
 
+One training row in HELD, by a hash of its text, is held back from the counts. These rows calibrate the rejection: how
+far a text's bits a character may lie above its language's mean follows from its number of characters and from a
+quantile of the texts held back.
+
 Every counted n-gram is in the model. Up to MOST of them the arrays are made by the driver and broadcast; a larger model
 stays in tables of the shared folder, made by the same formulas, and the texts' distinct words and n-grams are joined to it.
 """
@@ -13,6 +17,7 @@ stays in tables of the shared folder, made by the same formulas, and the texts'
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,11 +33,13 @@ from tidelog.storage import cut
 ORDER = 4
 #: n-grams of the full order, over all languages, up to which a model is gathered and broadcast (some 24 bytes each); a larger one is joined.
 MOST = 1_500_000
-#: A text is rejected where its bits a character exceed its language's mean by MARGIN and SPREAD standard errors.
-MARGIN, SPREAD = 0.75, 8.0
+#: One training row of so many, by its text, is held back to calibrate the rejection.
+HELD = 8
+#: Bits a character by which a text's mean may drift from its language's, besides the error that falls with its length.
+DRIFT = 0.15
+#: Share of the rows held back that may lie beyond a language's limit, and the bounds of that limit in standard errors.
+BEYOND, LEAST_ERRORS, MOST_ERRORS = 0.002, 6.0, 10.0
 START, STOP = "\x02", "\x03"
-#: Words whose bits a worker remembers.
-WORDS = 200_000
 
 
 def crc_fold(column: str = "doc_id"):
@@ -88,14 +95,17 @@ def _hash(codes: np.ndarray) -> np.ndarray:
     return h
 
 
+def _points(texts: pa.Array) -> np.ndarray:
+    """The code points of all texts, one after another; Arrow strings are joined without a Python string for each."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "")[0].as_py()
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def _codes(grams: list[str] | pa.Array, width: int | None = None) -> np.ndarray:
-    """The code points of grams of one length, a row each; Arrow strings are joined without a Python string for each."""
+    """The code points of grams of one length, a row each."""
     if isinstance(grams, list):
-        joined, n = "".join(grams), len(grams)
-    else:
-        n = len(grams)
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), grams), "")[0].as_py()
-    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width or -1)
+        return np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(grams), width or -1)
+    return _points(grams).reshape(len(grams), width or -1)
 
 
 @dataclass
@@ -125,8 +135,6 @@ class Kn:
     grams: list[Table]
     backs: list[Table]
     floor: float
-    mean: float = 0.0
-    sd: float = 1.0
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
         """log2 probability of the last column of each row given those before it."""
@@ -173,85 +181,119 @@ def train_language(counts: list[tuple[np.ndarray, np.ndarray]], alphabet: int) -
 
 
 class Model:
-    """All languages: predict() gives language, score and rejection of texts."""
+    """All languages: predict() gives language, score and rejection of texts.
 
-    def __init__(self, langs: dict[str, Kn], order: int):
+    known holds the finished log2 probabilities, under every language, of all n-grams of the full order that any of
+    them has seen, so that most characters take one search; the others back off through the languages' own arrays.
+    """
+
+    def __init__(self, langs: dict[str, Kn], order: int, seen: np.ndarray | None = None):
         self.names, self.order = sorted(langs), order
         self.langs = [langs[n] for n in self.names]
-        self.known: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.names)))
-        self.room: list[np.ndarray] = []
-
-    def word_bits(self, words: list[str]) -> np.ndarray:
-        """Bits of each word (with its end mark) under each language."""
-        if not words:
-            return np.zeros((0, len(self.langs)))
-        pad = [START * (self.order - 1) + w + STOP for w in words]
-        n = np.array([len(w) + 1 for w in words])
-        flat = np.frombuffer("".join(pad).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        starts = np.cumsum([0, *(n + self.order - 1)[:-1]])
-        begin = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        codes = flat[begin[:, None] + np.arange(self.order)]
-        ends = np.cumsum(n) - n
-        return np.stack([-np.add.reduceat(m.symbols(codes), ends) for m in self.langs], axis=1)
-
-    def _bits(self, words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > WORDS:
-                self.known.clear()
-                self.table = np.zeros((0, len(self.names)))
-                new = list(words)
-            fresh = np.concatenate([self.word_bits(new[k : k + 10_000]) for k in range(0, len(new), 10_000)])
-            if len(new) > WORDS:
-                return fresh
-            for w in new:
-                self.known[w] = len(self.known)
-            self.table = np.concatenate([self.table, fresh])
-        return self.table[[self.known[w] for w in words]] if words else self.table[:0]
+        self.scale = np.tile([0.0, 1.0, MOST_ERRORS], (len(self.names), 1))
+        seen = np.zeros((0, order), np.uint32) if seen is None else seen
+        keys, first = np.unique(_hash(seen), return_index=True)
+        rows = [self._backed_off(seen[first[k : k + 100_000]]) for k in range(0, len(keys), 100_000)]
+        self.keys, self.known = keys, np.concatenate(rows) if rows else np.zeros((0, len(self.names)))
+
+    def _backed_off(self, codes: np.ndarray) -> np.ndarray:
+        return np.stack([m.symbols(codes) for m in self.langs], axis=1)
+
+    def symbols(self, codes: np.ndarray) -> np.ndarray:
+        """log2 probability under each language of the last column of each row given those before it."""
+        if not len(self.keys):
+            return self._backed_off(codes)
+        h = _hash(codes)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        out, new = self.known[at], self.keys[at] != h
+        if new.any():
+            out[new] = self._backed_off(codes[new])
+        return out
+
+    def word_bits(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each word (with its end mark) under each language, and its characters (with that mark)."""
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        bits = np.zeros((len(words), len(self.langs)))
+        for a in range(0, len(words), 10_000):
+            n = size[a : a + 10_000]
+            flat = _points(pc.binary_join_element_wise(START * (self.order - 1), words.slice(a, 10_000).cast(pa.string()), STOP, ""))
+            first = np.cumsum(n + self.order - 1) - (n + self.order - 1)
+            ends = np.cumsum(n) - n
+            begin = np.repeat(first - ends, n) + np.arange(n.sum())
+            bits[a : a + 10_000] = -np.add.reduceat(self.symbols(flat[begin[:, None] + np.arange(self.order)]), ends)
+        return bits, size
+
+    def _occurrences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, word's bits under each language by column, word's characters) of every word, as indices into the different words."""
+        flat, per = _split(texts)
+        coded = flat.dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        bits, size = self.word_bits(coded.dictionary)
+        return np.repeat(np.arange(len(texts)), per), coded.indices.to_numpy(zero_copy_only=False), np.ascontiguousarray(bits.T), size
+
+    def _totals(self, n: int, owner: np.ndarray, at: np.ndarray, bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(at):
+            return np.zeros((n, len(self.names))), np.zeros(n)
+        return np.stack([np.bincount(owner, b[at], n) for b in bits], axis=1), np.bincount(owner, size[at], n)
+
+    def measure(self, texts: pa.Array) -> np.ndarray:
+        """The sums MEASURES of each text's words under the language that fits it best, a row each."""
+        n = len(texts)
+        owner, at, bits, size = self._occurrences(texts)
+        total, _ = self._totals(n, owner, at, bits, size)
+        if not len(at):
+            return np.zeros((n, len(MEASURES)))
+        b, z = bits[total.argmin(1)[owner], at], size[at]
+        return np.stack([np.bincount(owner, x, n) for x in (z, b, b * b, b * z, z * z)], axis=1)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, bits a character, rejected) of each text."""
         n = len(texts)
-        letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         if not self.names or not n:
             return ["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
-        flat, per = _split(texts)
-        coded = flat.dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        names = coded.dictionary.to_pylist()
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        bits, size = self._bits(names), np.array([len(w) + 1 for w in names])
-        owner = np.repeat(np.arange(n), per)
-        chars = np.bincount(owner, size[at] if len(at) else None, n)
-        total = np.stack([np.bincount(owner, bits[at, k] if len(at) else None, n) for k in range(len(self.names))], axis=1)
-        return verdicts(self.names, np.array([[m.mean, m.sd] for m in self.langs]), total, chars, per, letter)
+        total, chars = self._totals(n, *self._occurrences(texts))
+        return verdicts(self.names, self.scale, total, chars, _letters(texts))
+
+
+def _letters(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
 
 
-def verdicts(names: list[str], scale: np.ndarray, total: np.ndarray, chars: np.ndarray, per: np.ndarray, letter: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(language, score, bits a character, rejected) of texts from their bits under each language, characters, words and whether they have a letter."""
+def verdicts(names: list[str], scale: np.ndarray, total: np.ndarray, chars: np.ndarray, letter: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(language, score, bits a character, rejected) of texts from their bits under each language, characters and whether they have a letter."""
     n = len(total)
-    h = total / np.maximum(chars, 1)[:, None]
+    size = np.maximum(chars, 1)
+    h = total / size[:, None]
     best = h.argmin(1)
     low = h[np.arange(n), best]
     # a posterior tempered by the square root of the length: neighbouring characters are not independent
-    gap = (h - low[:, None]) * np.sqrt(np.maximum(chars, 1))[:, None]
+    gap = (h - low[:, None]) * np.sqrt(size)[:, None]
     score = 1.0 / np.exp2(-np.minimum(gap, 60)).sum(1)
-    mean, sd = scale[best, 0], scale[best, 1]
-    rejected = ~letter | (low > mean + MARGIN + SPREAD * sd / np.sqrt(np.maximum(per, 1)))
+    mean, sd, errors = scale[best].T
+    rejected = ~letter | (low > mean + errors * standard_error(sd, size))
     lang = [names[b] if ok else "und" for b, ok in zip(best, letter)]
     return lang, np.where(letter, score, 0.0), low, rejected
 
 
+def standard_error(sd, chars):
+    """Of the bits a character of a text of so many characters."""
+    return np.sqrt(DRIFT**2 + sd**2 / chars)
+
+
 def train(rows: DataFrame, order: int = ORDER, most: int = MOST) -> Model | Joined:
     """A model of all n-grams of rows (text, lang). Null texts and languages are left out; no rows: a model without languages.
 
-    The driver receives the n-grams with their counts where they are at most `most` of the full order; a larger model is
-    made of tables and holds the same values. Sums over any number of rows are made by Spark.
+    One row in HELD, by its text, is not counted and calibrates the rejection; a language that would have no other rows
+    keeps them all, and is calibrated on what it learned. Repeated rows count as often as they occur. The driver receives
+    the n-grams with their counts where they are at most `most` of the full order; a larger model is made of tables and
+    holds the same values. Sums over any number of rows are made by Spark.
     """
     rows = rows.where("text is not null and lang is not null").select("text", "lang")
-    words = rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    held = F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0
+    alone = [r["lang"] for r in rows.groupBy("lang").agg(F.min(held).alias("all_held")).where("all_held").collect()]  # a row a language
+    held = held & ~F.col("lang").isin(alone)
+    words = rows.where(~held).mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = cut(words, "langid-words")
     level = cut(words.mapInArrow(_ngrams(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams")
     large = level.limit(most + 1).count() > most
@@ -264,17 +306,74 @@ def train(rows: DataFrame, order: int = ORDER, most: int = MOST) -> Model | Join
         levels.append(level.withColumn("k", F.lit(k)))
     levels.reverse()
     if large:
-        return _train_tables(levels, words, order)
-    counts: dict[str, list] = {}
-    for df in levels:
-        got = df.select("lang", "gram", "n", "k").toArrow()
-        for lang in pc.unique(got["lang"]).to_pylist():
-            of = got.filter(pc.equal(got["lang"], lang)).combine_chunks()
-            gram, = of["gram"].cast(pa.string()).chunks
-            counts.setdefault(lang, []).append((_codes(gram, of["k"][0].as_py()), of["n"].to_numpy().astype(float)))
-    alphabet = len(np.unique(np.concatenate([v[0][0].ravel() for v in counts.values()]))) if counts else 0
-    model = Model({lang: train_language(v, alphabet) for lang, v in counts.items()}, order)
-    return _calibrate(model, words)
+        model = _train_tables(levels, order)
+    else:
+        counts: dict[str, list] = {}
+        for df in levels:
+            got = df.select("lang", "gram", "n", "k").toArrow()
+            for lang in pc.unique(got["lang"]).to_pylist():
+                of = got.filter(pc.equal(got["lang"], lang)).combine_chunks()
+                gram, = of["gram"].cast(pa.string()).chunks
+                counts.setdefault(lang, []).append((_codes(gram, of["k"][0].as_py()), of["n"].to_numpy().astype(float)))
+        alphabet = len(np.unique(np.concatenate([v[0][0].ravel() for v in counts.values()]))) if counts else 0
+        seen = np.concatenate([v[-1][0] for v in counts.values()]) if counts else None
+        model = Model({lang: train_language(v, alphabet) for lang, v in counts.items()}, order, seen)
+    return _calibrate(model, rows.where(held), rows.where(~held))
+
+
+#: Sums over the words of a text: characters, bits, squared bits, bits times characters, squared characters.
+MEASURES = ("chars", "bits", "bits2", "cross", "chars2")
+
+
+def _calibrate(model: Model | Joined, held: DataFrame, learned: DataFrame) -> Model | Joined:
+    """Sets scale: mean bits a character of each language, their spread by character, and the limit in standard errors.
+
+    The limit is the least that leaves at most a share BEYOND of the language's rows outside, within LEAST_ERRORS and
+    MOST_ERRORS. Languages with no row held back are measured on the rows they learned from.
+    """
+    model.scale = np.tile([0.0, 1.0, MOST_ERRORS], (len(model.names), 1))
+    left = set(model.names)
+    for rows in (held, learned):
+        if not left:
+            break
+        got = cut(_measured(rows.where(F.col("lang").isin(sorted(left))), model).where("chars > 0"), "langid-measured")
+        found = {r["lang"]: r for r in got.groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in MEASURES]).collect()}  # a row a language
+        for lang, r in found.items():
+            mean = r["bits"] / r["chars"]
+            spread = max(r["bits2"] - 2 * mean * r["cross"] + mean**2 * r["chars2"], 0.0) / r["chars"]
+            model.scale[model.names.index(lang), :2] = mean, max(spread, 0.25) ** 0.5
+        if not found:
+            continue
+        place = lambda k: F.element_at(F.create_map(*[x for lang in found for x in (F.lit(lang), F.lit(float(model.scale[model.names.index(lang), k])))]), F.col("lang"))
+        errors = (F.col("bits") / F.col("chars") - place(0)) / F.sqrt(DRIFT**2 + place(1) ** 2 / F.col("chars"))
+        cell = F.ceil(F.least(F.greatest(errors, F.lit(LEAST_ERRORS)), F.lit(MOST_ERRORS)) * 64)
+        beyond: dict[str, list] = {}
+        for r in got.groupBy("lang", cell.alias("cell")).agg(F.count("*").alias("n")).collect():  # a few hundred cells a language
+            beyond.setdefault(r["lang"], []).append((r["cell"], r["n"]))
+        for lang, cells in beyond.items():
+            may, limit = BEYOND * found[lang]["n"], LEAST_ERRORS
+            for at, n in sorted(cells, reverse=True):
+                may -= n
+                if may < 0:
+                    limit = at / 64
+                    break
+            model.scale[model.names.index(lang), 2] = limit
+        left -= set(found)
+    return model
+
+
+def _measured(rows: DataFrame, model: Model | Joined) -> DataFrame:
+    """(lang, MEASURES) of rows (text, lang) under the language that fits each best."""
+    if isinstance(model, Joined):
+        return _totals_joined(rows, model, ["lang"])[0].select(F.col("k0").alias("lang"), *[F.col("own")[c].alias(c) for c in MEASURES])
+    sent = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, pickle.dumps(model)))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _loaded(sent)
+        for b in (x for y in batches for x in pieces(y, 0, 2 << 20)):
+            yield pa.RecordBatch.from_arrays([b.column(1), *map(pa.array, m.measure(b.column(0)).T)], names=["lang", *MEASURES])
+
+    return rows.select("text", "lang").mapInArrow(of, "lang string, " + ", ".join(f"{c} double" for c in MEASURES))
 
 
 @dataclass
@@ -286,7 +385,7 @@ class Joined:
     grams: list[DataFrame]
     backs: list[DataFrame]
     floor: DataFrame  # (lang, floor)
-    scale: np.ndarray | None = None  # mean and sd of each language
+    scale: np.ndarray | None = None  # mean, spread and limit of each language
 
     def word_bits(self, words: DataFrame) -> DataFrame:
         """(word, bits) of different words: bits of each (with its end mark) under each language, in the order of names."""
@@ -310,8 +409,8 @@ class Joined:
         return cut(join_groups(parts, by_gram, "gram").groupBy("word").agg(F.array(*sums).alias("bits")), "langid-word-bits")
 
 
-def _train_tables(levels: list[DataFrame], words: DataFrame, order: int) -> Joined:
-    """What train_language and _calibrate do, by joins: levels (lang, gram, n) of length 1, 2, ... and the counted words."""
+def _train_tables(levels: list[DataFrame], order: int) -> Joined:
+    """What train_language does, by joins: levels (lang, gram, n) of length 1, 2, ..."""
     alphabet = levels[0].select("gram").distinct().count()
     base = 1.0 / (alphabet + 1)
     grams, backs, floor = [], [], None
@@ -333,49 +432,7 @@ def _train_tables(levels: list[DataFrame], words: DataFrame, order: int) -> Join
         level = level.select("lang", "gram", p.alias("p"))
         grams.append(cut(level.withColumn("v", F.log2("p")), "langid-model"))
     floor = cut(floor, "langid-floor")
-    model = Joined(sorted(r["lang"] for r in floor.collect()), order, grams, backs, floor)  # a row a language
-    place = F.create_map(*[x for i, n in enumerate(model.names) for x in (F.lit(n), F.lit(i))])
-    rows = join_groups(words, model.word_bits(words.select("word").distinct()), "word").select("lang", F.col("n").cast("double").alias("n"), F.length("word") + 1, F.get("bits", place[F.col("lang")])).toDF("lang", "n", "size", "b")
-    rows = rows.select("lang", "n", (F.col("n") * F.col("size")).alias("chars"), (F.col("n") * F.col("b")).alias("bits"), (F.col("n") * F.col("b") / F.col("size")).alias("rates"), (F.col("n") * F.pow(F.col("b") / F.col("size"), 2)).alias("squares"))
-    model.scale = np.zeros((len(model.names), 2))
-    for r in _sums(rows).collect():  # a row a language
-        model.scale[model.names.index(r["lang"])] = _scale(r)
-    return model
-
-
-#: Over a language's words: their number, characters, bits, bits a character, and the squares of these.
-SUMS = ("n", "chars", "bits", "rates", "squares")
-
-
-def _sums(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("lang").agg(*[F.sum(c).alias(c) for c in SUMS])
-
-
-def _scale(r) -> tuple[float, float]:
-    n = max(r["n"], 1)
-    return r["bits"] / max(r["chars"], 1), float(np.sqrt(max(r["squares"] / n - (r["rates"] / n) ** 2, 0.01)))
-
-
-def _calibrate(model: Model, words: DataFrame) -> Model:
-    """Mean bits a character of each language, and the spread of a word's, from its own counted words."""
-    if not model.names:
-        return model
-    sent = words.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _loaded(sent)
-        place = {n: k for k, n in enumerate(m.names)}
-        for b in batches:
-            names, w, n = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False).astype(float)
-            bits = np.concatenate([m.word_bits(w[k : k + 10_000]) for k in range(0, len(w), 10_000)])[np.arange(len(w)), [place[x] for x in names]] if w else np.zeros(0)
-            size = np.array([len(x) + 1 for x in w], float)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(n * size), pa.array(n * bits), pa.array(n * bits / size), pa.array(n * (bits / size) ** 2)], names=["lang", *SUMS])
-
-    got = _sums(words.mapInArrow(of, "lang string, " + ", ".join(f"{c} double" for c in SUMS)))
-    for r in got.collect():  # a row a language
-        kn = model.langs[model.names.index(r["lang"])]
-        kn.mean, kn.sd = _scale(r)
-    return model
+    return Joined(sorted(r["lang"] for r in floor.collect()), order, grams, backs, floor)  # a row a language
 
 
 def predict(docs: DataFrame, model: Model | Joined, keep: list[str] | None = None) -> DataFrame:
@@ -386,7 +443,7 @@ def predict(docs: DataFrame, model: Model | Joined, keep: list[str] | None = Non
     """
     if isinstance(model, Joined):
         return _predict_joined(docs, model, keep or ["doc_id"])
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, pickle.dumps(model)))
     keep = keep or ["doc_id"]
     rows = docs.select("text", *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
 
@@ -411,39 +468,57 @@ def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from got.rename_columns(["row", "word", "n"]).combine_chunks().to_batches()
 
 
-def _predict_joined(docs: DataFrame, model: Joined, keep: list[str]) -> DataFrame:
-    """predict by joins; rows are numbered in a written table, so repeated rows keep their own verdicts."""
+def _totals_joined(docs: DataFrame, model: Joined, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(row, total, chars, own, k0, k1, ...) of every row of docs, by joins, and the written rows (row, text, k0, k1, ...) themselves.
+
+    Rows are numbered in a written table, so repeated rows keep their own values.
+    """
     rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "text", *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]), "langid-rows")
     found = cut(rows.select("row", "text").mapInArrow(_doc_words, "row long, word string, n long"), "langid-doc-words")
     known = model.word_bits(found.select("word").distinct())
-    scored = join_groups(found, known, "word").groupBy("row").agg(
-        F.array(*[F.sum(F.col("n") * F.col("bits")[i]) for i in range(len(model.names))]).alias("total"),
-        F.sum(F.col("n") * (F.length("word") + 1)).alias("chars"), F.sum("n").alias("per"))
+    n, z = F.col("n"), (F.length("word") + 1).cast("double")
+    sums = [F.sum(n * z).alias("chars"), F.sum(n * z * z).alias("chars2")]
+    for i in range(len(model.names)):
+        b = F.col("bits")[i]
+        sums += [F.sum(n * b).alias(f"b{i}"), F.sum(n * b * b).alias(f"q{i}"), F.sum(n * b * z).alias(f"x{i}")]
+    scored = join_groups(found, known, "word").groupBy("row").agg(*sums)
+    each = [F.struct(F.col(f"b{i}").alias("bits"), F.lit(i).alias("i"), F.col("chars"), F.col(f"q{i}").alias("bits2"), F.col(f"x{i}").alias("cross"), F.col("chars2")) for i in range(len(model.names))]
+    scored = scored.select("row", F.array(*[F.col(f"b{i}") for i in range(len(model.names))]).alias("total"), "chars", F.array_min(F.array(*each)).alias("own"))
+    return rows.join(scored, "row", "left").select("row", "total", "chars", "own", *[f"k{i}" for i in range(len(keep))]), rows
+
+
+def _predict_joined(docs: DataFrame, model: Joined, keep: list[str]) -> DataFrame:
+    """predict by joins."""
+    scored, rows = _totals_joined(docs, model, keep)
+    scored = scored.select("row", "total", "chars")
     names, scale = model.names, model.scale
 
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_letters(b.column(1)))], names=["row", "letter"])
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total = np.array([x or [0.0] * len(names) for x in b.column(1).to_pylist()], float).reshape(b.num_rows, len(names))
-            chars, per, letter = (np.array(pc.fill_null(b.column(i), False if i == 4 else 0)) for i in (2, 3, 4))
-            lang, score, bits, rejected = verdicts(names, scale, total, chars, per, letter)
+            chars = np.array(pc.fill_null(b.column(2), 0.0))
+            lang, score, bits, rejected = verdicts(names, scale, total, chars, np.array(b.column(3)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)], names=["row", "lang_pred", "score", "bits", "rejected"])
 
-    letters = rows.select("row", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    said = letters.join(scored, "row", "left").select("row", "total", "chars", "per", "letter").mapInArrow(of, "row long, lang_pred string, score double, bits double, rejected boolean")
+    with_letters = rows.select("row", "text").mapInArrow(letters, "row long, letter boolean")
+    said = with_letters.join(scored, "row").select("row", "total", "chars", "letter").mapInArrow(of, "row long, lang_pred string, score double, bits double, rejected boolean")
     return rows.join(said, "row").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "bits", "rejected")
 
 
-_models: dict[int, Model] = {}
+_models: dict[str, Model] = {}
 
 
 def _loaded(sent) -> Model:
     """The model of a broadcast, once a worker."""
-    raw = sent.value
-    key = hash((len(raw), raw[:4096], raw[-4096:], raw[len(raw) // 2 : len(raw) // 2 + 4096]))
-    if key not in _models:
+    name, raw = sent.value
+    if name not in _models:
         _models.clear()
-        _models[key] = pickle.loads(raw)
-    return _models[key]
+        _models[name] = pickle.loads(raw)
+    return _models[name]
 
 
 def identify(docs: DataFrame, order: int = ORDER, most: int = MOST) -> DataFrame:
