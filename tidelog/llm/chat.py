@@ -4,6 +4,7 @@ A message is a role and a list of parts: text, image, audio or document. The vis
 the formatted string: a text is escaped, an attachment becomes a placeholder, and its reference, order and expanded
 token count are recorded beside it. Control strings in texts and roles are escaped reversibly: U+2060 goes in after
 their first character, one more where some stand there already, so the string parses back to the same parts.
+Neighbouring texts of a message become one text first, so no control string can form where two of them meet.
 """
 
 from __future__ import annotations
@@ -71,9 +72,24 @@ def visit(part: Column, t: Template) -> Column:
     return out
 
 
+def _is_text(part: Column) -> Column:
+    return ~F.coalesce(part["kind"], F.lit("")).isin(*ATTACHED)
+
+
+def joined(parts: Column) -> Column:
+    """parts with each run of texts (and of unknown kinds, which are read as text) as one text."""
+
+    def step(a: Column, p: Column) -> Column:
+        last = F.element_at(a, -1)
+        both = last.withField("text", F.concat(F.coalesce(last["text"], F.lit("")), F.coalesce(p["text"], F.lit(""))))
+        return F.when((F.size(a) > 0) & _is_text(p) & F.coalesce(_is_text(F.get(a, F.size(a) - 1)), F.lit(False)), F.array_append(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), both)).otherwise(F.array_append(a, p))
+
+    return F.when(F.size(parts) < 2, parts).otherwise(F.aggregate(parts, F.array().cast(f"array<{PART}>"), step))
+
+
 def _messages(turns: DataFrame) -> DataFrame:
     """(conv_id, messages): the turns of a conversation in order of turn; ties by role, then by content, nulls first."""
-    m = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(f"array<{PART}>")).alias("parts"))
+    m = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), joined(F.coalesce("parts", F.array().cast(f"array<{PART}>"))).alias("parts"))
     return turns.select("conv_id", m.alias("m")).groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("messages"))
 
 

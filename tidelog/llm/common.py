@@ -38,6 +38,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever dots or quotes are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def every(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
+
+
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -74,15 +83,15 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
 FEW_GROUPS = 50_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner", most: int = FEW_GROUPS, salts: int = 64) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner", most: int = FEW_GROUPS, salts: int = 64, known: int | None = None) -> DataFrame:
     """rows joined to a written table with one row for each `key`, whatever share of the rows a key holds.
 
     The groups are counted: up to `most` they are broadcast; beyond, each is repeated under `salts` salts and rows meet
-    them under one of these, so that a hot key is spread over as many partitions.
+    them under one of these, so that a hot key is spread over as many partitions. known: their number, if it was counted.
     """
-    if groups.limit(most + 1).count() <= most:
+    if (groups.limit(most + 1).count() if known is None else known) <= most:
         return rows.join(F.broadcast(groups), key, how)
     salt, = fresh(rows, "jg_salt")
     salted = groups.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = rows.withColumn(salt, (F.xxhash64(*rows.columns) % salts + salts).cast("int") % salts)
+    dealt = rows.withColumn(salt, (F.xxhash64(*every(rows)) % salts + salts).cast("int") % salts)
     return dealt.join(salted, [key, salt], how).drop(salt)

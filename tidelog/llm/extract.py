@@ -16,19 +16,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import pieces
+from tidelog.llm.common import join_groups, pieces
 from tidelog.llm.markup import END, START, TEXT, attributes, events
 from tidelog.storage import cut
 
 #: Distinct page contents of a host, and their share, from which a subtree is a template.
 LEAST, SHARE = 10, 0.05
-#: Templates (rows of host and hash) that executors get by broadcast, some 100 bytes each; more are joined by host.
+#: Templates (rows of host and hash) that executors get by broadcast, some 100 bytes each; more are joined.
 BROADCAST = 200_000
 
 ROOTS = frozenset(("article", "main"))
 DROP = frozenset("head nav footer aside form script style noscript template svg math canvas iframe object button select input textarea dialog menu audio video title meta link".split())
-#: Words of class, id and role that mark boilerplate.
-MARKS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer contentinfo ad ads advert adverts advertisement advertising adsense sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription comment comments disqus respond share sharing social related recommended widget login signup search complementary dialog alert form masthead pagination pager".split())
+#: Landmark and widget roles that hold no article text.
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Words of class and id that mark boilerplate wherever they stand; a name is marked if it is one of them, or joins them with NEUTRAL words.
+MARKS = frozenset("ad ads advert adverts advertisement advertising adsense breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr navbar newsletter pagination share sharing sidebar sponsored".split())
+#: More of them for what is outside an article; as names inside one they may well be about its text.
+OUTER = MARKS | frozenset("alert aside banner complementary contentinfo dialog footer form login masthead menu modal nav navigation notice overlay pager popup promo recommended related respond search signup social sponsor subscribe subscription widget".split())
+NEUTRAL = frozenset("area banner bar block box bottom container form inner left list main notice outer popup right section side signup site slot thread top unit widget wrap wrapper".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 HASHED = BLOCKS - {"html", "body", "hr"} | {"head", "span", "script"}
 _WORDS = re.compile(r"[a-z0-9]+")
@@ -83,7 +88,11 @@ def _boilerplate(tag: str, raw: str, inside: int) -> bool:
     if not raw or tag in ("html", "body") or not _MARK.search(raw):
         return False
     a = attributes(raw)
-    return any(w in MARKS for k in ("class", "id", "role") if k in a for w in _WORDS.findall(a[k].lower()))
+    if any(r in ROLES for r in a.get("role", "").lower().split()):
+        return True
+    marks = MARKS if inside else OUTER
+    names = (_WORDS.findall(x) for k in ("class", "id") for x in a.get(k, "").lower().split())
+    return any(not marks.isdisjoint(n) and all(w in marks or w in NEUTRAL for w in n) for n in names)
 
 
 def main_text(html: str | None, templates: set[int] | frozenset[int] = frozenset()) -> str:
@@ -157,10 +166,16 @@ def templates(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> Dat
     return counts.where(F.col("hash").isNotNull()).join(totals, "host").where(F.col("n") >= F.greatest(F.lit(float(least)), share * F.col("total"))).select("host", "hash")
 
 
-def _with_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A last column with host_of the url, so that pages meet templates under the name that these were counted by."""
+def _own_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, key) of every page's different subtrees; the key is a template's hash and host."""
     for b in (x for y in batches for x in pieces(y, 2)):
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(host_of, b.column(1).to_pylist()), pa.string())], names=[*b.schema.names, "ex_host"])
+        rows, keys = [], []
+        for row, url, html in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            name = host_of(url.as_py())
+            found = set(subtrees(events(html.as_py() or "")).values())
+            rows += [row] * len(found)
+            keys += [f"{h}|{name}" for h in found]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.string())], names=["ex_row", "ex_key"])
 
 
 def _extracted(of_host):
@@ -193,6 +208,9 @@ def extract(pages: DataFrame, least: int = LEAST, share: float = SHARE, broadcas
             by_host.setdefault(r["host"], []).append(r["hash"])
         sent = pages.sparkSession.sparkContext.broadcast({h: frozenset(v) for h, v in by_host.items()})
         return rows.mapInArrow(_extracted(lambda: sent.value), schema)
-    sets = found.groupBy(F.col("host").alias("ex_host")).agg(F.collect_list("hash").alias("ex_hashes"))
-    with_host = rows.mapInArrow(_with_hosts, "page_id long, url string, html string, ex_host string")
-    return with_host.join(sets, "ex_host", "left").select("page_id", "url", "html", "ex_hashes").mapInArrow(_extracted(dict), schema)
+    # each page meets the templates by host and hash, however many pages its host has, and carries only those it holds
+    numbered = cut(rows.select(F.monotonically_increasing_id().alias("ex_row"), "page_id", "url", "html"), "extract-rows")
+    own = numbered.select("ex_row", "url", "html").mapInArrow(_own_subtrees, "ex_row long, ex_key string")
+    keyed = cut(found.select(F.concat(F.col("hash").cast("string"), F.lit("|"), "host").alias("ex_key"), "hash"), "extract-keys")
+    hits = join_groups(own, keyed, "ex_key").groupBy("ex_row").agg(F.collect_set("hash").alias("ex_hashes"))
+    return numbered.join(hits, "ex_row", "left").select("page_id", "url", "html", "ex_hashes").mapInArrow(_extracted(dict), schema)

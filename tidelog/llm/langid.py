@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import join_groups, pieces, trim
+from tidelog.llm.common import column, join_groups, pieces, trim
 from tidelog.storage import cut
 
 ORDER = 4
@@ -445,7 +445,7 @@ def predict(docs: DataFrame, model: Model | Joined, keep: list[str] | None = Non
         return _predict_joined(docs, model, keep or ["doc_id"])
     sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, pickle.dumps(model)))
     keep = keep or ["doc_id"]
-    rows = docs.select("text", *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    rows = docs.select("text", *[column(c).alias(f"k{i}") for i, c in enumerate(keep)])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _loaded(sent)
@@ -473,7 +473,7 @@ def _totals_joined(docs: DataFrame, model: Joined, keep: list[str]) -> tuple[Dat
 
     Rows are numbered in a written table, so repeated rows keep their own values.
     """
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "text", *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]), "langid-rows")
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "text", *[column(c).alias(f"k{i}") for i, c in enumerate(keep)]), "langid-rows")
     found = cut(rows.select("row", "text").mapInArrow(_doc_words, "row long, word string, n long"), "langid-doc-words")
     known = model.word_bits(found.select("word").distinct())
     n, z = F.col("n"), (F.length("word") + 1).cast("double")

@@ -8,8 +8,9 @@ documents and of words stay as they are.
 The flight runs in buckets of at most about a thousand documents of one source: three fractional units at a time
 move along the null space of the two constraints until one of them lands. Each bucket leaves at most two units in
 flight and a few of all sizes that wait; those meet in the next level's buckets, until one bucket of a source is left.
-There the landing tries all assignments of its last 16 units or fewer and takes the one nearest to the totals. A hot
-source is many buckets.
+There the landing weighs all assignments of its last 16 units or fewer by their probability under independent draws
+and by how near they are to the totals, and draws one. A hot source is many buckets. The flight keeps each unit's
+inclusion probability; the landing keeps it roughly, as far as assignments near the totals allow.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fresh, join_groups, words
+from tidelog.llm.common import every, fresh, join_groups, words
 from tidelog.storage import cut
 
 BUCKET = 1024
 #: Units of a bucket that wait for the landing.
 LANDING = 14
+#: Standard deviation of a source's words that the landing allows, as a share of its target.
+NEAR = 0.002
 EPS = 1e-9
 
 
@@ -76,17 +79,30 @@ def reserve(size: Sequence[float]) -> list[int]:
     return [order[r] for r in out]
 
 
-def landing(p: list[float], size: Sequence[float]) -> list[float]:
-    """Settle the last fractional units (some LANDING + 2): the assignment nearest to their words and their count."""
+def landing(p: list[float], size: Sequence[float], draw: float = 0.5, near: float = 0.0) -> list[float]:
+    """Settle the last fractional units (some LANDING + 2) by a uniform draw in [0, 1).
+
+    An assignment's weight is the product of its units' probabilities times a normal density of how far its words are
+    off, with standard deviation `near`, or as far off as the nearest assignment if none is that near; counts of
+    documents weigh a little. With near 0 the nearest assignment is taken.
+    """
     live = [k for k, v in enumerate(p) if EPS < v < 1 - EPS]
     if not live:
         return p
     want_size, want_n = sum(p[k] * size[k] for k in live), sum(p[k] for k in live)
-    words_of, n_of = np.zeros(1), np.zeros(1)
+    words_of, n_of, chance = np.zeros(1), np.zeros(1), np.zeros(1)
     for k in live:
         words_of, n_of = np.concatenate([words_of, words_of + size[k]]), np.concatenate([n_of, n_of + 1])
-    scale = max(1.0, sum(size[k] for k in live) / len(live))
-    best = int(np.argmin(np.abs(words_of - want_size) / scale + 0.05 * np.abs(n_of - want_n)))
+        chance = np.concatenate([chance + np.log1p(-p[k]), chance + np.log(p[k])])
+    off, count_off = np.abs(words_of - want_size), np.abs(n_of - want_n)
+    if near > 0:
+        weight = chance - 0.5 * (np.maximum(off - off.min(), 0) / near) ** 2 - 0.5 * (count_off / max(1.0, len(live) ** 0.5)) ** 2
+        total = np.cumsum(np.exp(weight - weight.max()))
+        best = int(np.searchsorted(total, draw * total[-1], side="right"))
+    else:
+        scale = max(1.0, sum(size[k] for k in live) / len(live))
+        best = int(np.argmin(off / scale + 0.05 * count_off))
+    best = min(best, len(off) - 1)
     for j, k in enumerate(live):
         p[k] = float(best >> j & 1)
     return p
@@ -94,7 +110,7 @@ def landing(p: list[float], size: Sequence[float]) -> list[float]:
 
 def _level(level: int, seed: int, last: bool):
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = [xxhash.xxh64_intdigest(f"{seed}|{level}|{d}") for d in pdf["doc_id"]]
+        order = [xxhash.xxh64_intdigest(f"{seed}|{level}|{u}|{v}|{n}") for u, v, n in zip(pdf["u1"], pdf["u2"], pdf["num"])]
         pdf = pdf.assign(o=order).sort_values(["o", "size", "p"], kind="stable")
         draws = [xxhash.xxh64_intdigest(f"{o}|draw") / 2**64 for o in pdf["o"]]
         size = pdf["size"].tolist()
@@ -103,7 +119,9 @@ def _level(level: int, seed: int, last: bool):
         fly = [k for k in range(len(p)) if k not in held]
         for k, v in zip(fly, flight([p[k] for k in fly], [size[k] for k in fly], [draws[k] for k in fly])):
             p[k] = v
-        return pdf.assign(p=landing(p, size) if last else p).drop(columns="o")
+        if last:
+            p = landing(p, size, xxhash.xxh64_intdigest(f"{seed}|landing|{pdf['key'].iloc[0]}") / 2**64, NEAR * float(pdf["target"].iloc[0]))
+        return pdf.assign(p=p).drop(columns="o")
 
     return of
 
@@ -129,30 +147,40 @@ def targets(rows: DataFrame, weights: Sequence[float], most: float) -> DataFrame
     return s.select("source", "n", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("cap"), F.coalesce(F.col("w") * F.col("lambda"), F.col("cap")))).alias("target"))
 
 
+def identity(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a row's values: together they tell rows apart, whatever ids they repeat."""
+    return [F.xxhash64(F.lit(k), *every(docs)) for k in (1, 2)]
+
+
 def copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 5, size: Column | None = None) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of every row of docs.
+    """(doc_id, source, size, source_size, target, copies, u1, u2) of every row of docs; u1 and u2 are its identity().
 
     size: words of the text unless given. Null and empty texts have size 0 and count among a source's documents. A null
-    source is a source of its own. Repeated rows are units of their own. The same rows give the same copies, in any
-    order and partitioning. copies is at most `most`, rounded up. An empty table gives an empty result.
+    source is a source of its own. Rows are told apart by all their values, so rows that share a doc_id, or have none,
+    are dealt to buckets like any others; rows equal in all values are counted, then numbered, and are units of their
+    own. The same rows give the same copies, in any order and partitioning. copies is at most `most`, rounded up. An
+    empty table gives an empty result.
     """
     size = F.size(words(F.col("text"))) if size is None else size
-    rows = cut(docs.select("doc_id", "source", size.cast("long").alias("size")), "mix-rows")
+    u1, u2 = identity(docs)
+    rows = cut(docs.select("doc_id", "source", size.cast("long").alias("size"), u1.alias("u1"), u2.alias("u2")), "mix-rows")
     plan = cut(targets(rows, weights, most), "mix-targets")
     key = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce("source", F.lit("")))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     p = plan.select(key.alias("key"), "n", "source_size", "target", F.floor(share + EPS).alias("whole"), share.alias("share"))
-    units = join_groups(rows.withColumn("key", key), p, "key")
+    units = rows.withColumn("key", key).groupBy("u1", "u2", "key", "doc_id", "source", "size").agg(F.count("*").alias("m"))
+    units = units.withColumn("num", F.explode(F.sequence(F.lit(1), F.col("m")))).drop("m")
+    units = join_groups(units, p, "key")
     units = units.withColumn("p", F.greatest(F.lit(0.0), F.col("share") - F.col("whole")))
     most_n = plan.agg(F.max("n")).first()[0] or 0
-    kind = "key string, doc_id long, size long, n long, whole long, p double, source string, source_size long, target double"
+    kind = "key string, doc_id long, size long, n long, whole long, p double, source string, source_size long, target double, u1 long, u2 long, num long"
     names = [c.split()[0] for c in kind.split(", ")]
     level, per, parts = 0, 1, []
     live = units.select(*names)
     while True:
         buckets = F.ceil(F.col("n") / F.lit(per * BUCKET)).cast("long")
         last = most_n <= per * BUCKET
-        live = live.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + level), F.col("doc_id")), buckets))
+        live = live.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + level), "u1", "u2", "num"), buckets))
         done = cut(live.groupBy("key", "bucket").applyInPandas(_level(level, seed, last), kind + ", bucket long").select(*names), "mix-level")
         settled = (F.col("p") <= EPS) | (F.col("p") >= 1 - EPS)
         parts.append(done.where(settled))
@@ -162,22 +190,20 @@ def copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float =
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("long")).alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("long")).alias("copies"), "u1", "u2")
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; rows it does not take are left out.
 
-    Rows that repeat a doc_id are units of their own there; here they share that doc_id's copies in order of value.
+    Rows may share a doc_id, or have none. Rows equal in all values share the copies that these take together. Nulls in
+    any column and other columns of any name stay as they are; an empty table gives an empty result.
     """
-    n, = fresh(docs, "mix_copies")
-    got = copies(docs).groupBy(F.col("doc_id").alias("mix_id")).agg(F.sum("copies").alias(n), F.count("*").alias("mix_rows"))
+    n, one, two, times = fresh(docs, "mix_copies", "mix_one", "mix_two", "mix_rows")
+    got = copies(docs).groupBy(F.col("u1").alias(one), F.col("u2").alias(two)).agg(F.sum("copies").alias(n), F.count("*").alias(times))
+    u1, u2 = identity(docs)
     # a row a document: too many to broadcast, however few they are in a test
-    got = got.withColumnRenamed("mix_id", n + "_id").withColumnRenamed("mix_rows", n + "_rows").hint("merge")
-    met = docs.join(got, F.col("doc_id").eqNullSafe(F.col(n + "_id")))
-    single = met.where(F.col(n + "_rows") == 1)
-    many = met.where(F.col(n + "_rows") > 1)
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))) - 1
-    many = many.withColumn(n, F.expr(f"{n} div {n}_rows") + (rank < F.col(n) % F.col(n + "_rows")).cast("long"))
-    both = single.unionByName(many).where(F.col(n) > 0)
-    return both.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    met = docs.withColumns({one: u1, two: u2}).join(got.where(F.col(n) > 0).hint("merge"), [one, two])
+    equal = met.where(F.col(times) > 1).dropDuplicates([one, two])
+    both = met.where(F.col(times) == 1).unionByName(equal)
+    return both.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*every(docs))

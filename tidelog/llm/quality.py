@@ -1,9 +1,12 @@
 """Quality rules: base counts, then robust multivariate outliers by minimum covariance determinant.
 
-Everything is DataFrame expressions. Documents are judged against the others of their language and source:
-a vector of transformed statistics, a deterministic MCD estimate (start from medians and MADs, then
-concentration steps on the h nearest documents) and a Mahalanobis distance. All sums are over fixed-point
-integers, so reruns and other partitionings give the same estimates.
+Everything is DataFrame expressions. Documents are judged against the others of their language and source: a vector of
+transformed statistics, a deterministic MCD estimate and a Mahalanobis distance. Each group starts from three estimates
+(medians and MADs, mean and covariance, spatial signs), takes concentration steps on the h nearest documents from each
+until nothing changes, and keeps the one whose covariance has the least determinant. A group's estimate is then drawn
+towards its language's, and that one's towards the table's, by the weight of SHRINK rows; so every group has an
+estimate of its own, and none hangs on a few rows. All sums are over fixed-point integers, so reruns and other
+partitionings give the same estimates.
 
 Rows travel once: the statistics are cut to a narrow table, each concentration step reads only that table and
 moves per-group histograms and moments. A group of any size is therefore pre-aggregated before its shuffle.
@@ -16,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fresh, join_groups, let, words
+from tidelog.llm.common import every, fresh, join_groups, let, words
 from tidelog.storage import cut
 
 #: Dimensions of the vector, and for each the spread (in log units) below which differences mean nothing: a tenth of the
@@ -30,6 +33,10 @@ SCALE = 1024
 CHI2_MEDIAN, CHI2_CUT = 4.351, 25.745
 #: Histogram cells for each doubling of 1 + d2.
 CELLS = 32
+#: Rows of the wider estimate that a narrower one is mixed with, and rows up to which the narrower has no weight: too few for the determinant to tell outliers.
+SHRINK, NONE = 50, 2 * (len(DIMS) + 1)
+#: Fixed-point steps of a product of spatial signs.
+SIGNS = 1 << 20
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -86,33 +93,6 @@ def _key(*columns: Column) -> Column:
     return F.concat(*[F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), c)) for c in columns])
 
 
-def _pools(rows: DataFrame, least: int) -> DataFrame:
-    """(source_key, lang_key, pool): what each language and source is judged by.
-
-    s: itself; l: the small sources of its language; a: those of all such languages; where these have fewer than `least`
-    rows too, w: all rows of its language, or t: all rows of the table.
-    """
-    counts = rows.groupBy("source_key", "lang_key").agg(F.count("*").alias("n"))
-    small = counts.where(F.col("n") < least)
-    by_lang = small.groupBy("lang_key").agg(F.sum("n").alias("n_lang"))
-    whole = counts.groupBy("lang_key").agg(F.sum("n").alias("n_all"))
-    rest = by_lang.where(F.col("n_lang") < least).agg(F.sum("n_lang").alias("n")).first()["n"] or 0
-    return (counts.join(by_lang, "lang_key", "left").join(whole, "lang_key")
-            .select("source_key", "lang_key", F.when(F.col("n") >= least, F.concat(F.lit("s"), "source_key"))
-                    .when(F.col("n_lang") >= least, F.concat(F.lit("l"), "lang_key"))
-                    .when(F.lit(rest >= least), F.lit("a"))
-                    .when(F.col("n_all") >= least, F.concat(F.lit("w"), "lang_key"))
-                    .otherwise(F.lit("t")).alias("pool")))
-
-
-def _members(pools: DataFrame) -> DataFrame:
-    """(source_key, pool): the languages and sources whose rows each pool's estimate is made from."""
-    own = pools.where(~F.col("pool").startswith("w") & ~F.col("pool").startswith("t")).select("source_key", "pool")
-    wide = pools.where(F.col("pool").startswith("w")).select("lang_key", "pool").distinct()
-    table = pools.where(F.col("pool") == "t").select("pool").distinct()
-    return own.union(pools.drop("pool").join(wide, "lang_key").select("source_key", "pool")).union(pools.select("source_key").crossJoin(table))
-
-
 def _quantile(bins: Column, share: float) -> Column:
     """The first cell of sorted (cell, count) pairs at which the running count reaches that share of all."""
     total = F.aggregate(bins, F.lit(0).cast("long"), lambda a, b: a + b["n"])
@@ -129,113 +109,155 @@ def _histogram(rows: DataFrame, cell: Column, share: dict[str, float]) -> DataFr
     return got.select("pool", *[_quantile(F.col("bins"), q).alias(k) for k, q in share.items()])
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and scaled MADs of each dimension as centre and diagonal of L."""
-    step = SCALE // 32
-    med, mad = rows, rows
-    parts = []
-    long = rows.select("pool", F.posexplode(F.array(*DIMS)).alias("d", "x")).withColumn("pd", F.concat(F.col("d").cast("string"), F.lit("|"), "pool"))
-    as_pool = long.select(F.col("pd").alias("pool"), F.floor(F.col("x") / step).alias("cell"))
-    med = cut(_histogram(as_pool, F.col("cell"), {"med": 0.5}), "mcd-median")
-    dev = join_groups(as_pool, med, "pool").select("pool", F.abs(F.col("cell") - F.col("med")).alias("cell"))
-    mad = _histogram(dev, F.col("cell"), {"mad": 0.5})
-    both = med.join(mad, "pool").select(
-        F.substring_index("pool", "|", 1).cast("int").alias("d"),
-        F.expr("substring(pool, instr(pool, '|') + 1)").alias("pool"),
-        ((F.col("med") + 0.5) * step / SCALE).alias("m"), (1.4826 * (F.col("mad") + 0.5) * step / SCALE).alias("s"))
-    for i in range(len(DIMS)):
-        of = lambda c, i=i: F.max(F.when(F.col("d") == i, F.col(c)))
-        parts += [of("m").alias(f"m{i}"), of("s").alias(f"s{i}")]
-    got = both.groupBy("pool").agg(*parts)
-    lower = [(F.sqrt(F.col(f"s{i}") ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(len(DIMS)) for j in range(i + 1)]
-    return got.select("pool", *[f"m{i}" for i in range(len(DIMS))], *lower)
-
-
-def _distance(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance, by forward substitution in the Cholesky factor.
-
-    params is a written table with a row for each pool.
-    """
-    out = join_groups(rows, params, "pool")
-    for i in range(len(DIMS)):
-        y = F.col(DIMS[i]) / SCALE - F.col(f"m{i}")
-        for j in range(i):
-            y = y - F.col(f"l{i}{j}") * F.col(f"y{j}")
-        out = out.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", reduce(lambda a, b: a + b, [F.col(f"y{i}") ** 2 for i in range(len(DIMS))]))
+P = range(len(DIMS))
+LOWER = [(i, j) for i in P for j in range(i + 1)]
+#: What describes an estimate: centre, inverse of the covariance's Cholesky factor, logarithm of its determinant.
+PARAMS = [f"m{i}" for i in P] + [f"a{i}{j}" for i, j in LOWER] + ["logdet"]
+STARTS = 3
+
 
+def _sum(terms) -> str:
+    return " + ".join(terms) or "0d"
 
-def _cell(d2: Column) -> Column:
-    return F.floor(F.log2(1.0 + d2) * CELLS)
+
+def _factor(df: DataFrame, *keep: str) -> DataFrame:
+    """(keep, PARAMS) from centres m* and covariances c* (lower triangle); pivots stay above a quarter of the floors."""
+    for j in P:
+        df = df.selectExpr("*", f"sqrt(greatest(c{j}{j} - ({_sum(f'l{j}{k} * l{j}{k}' for k in range(j))}), {FLOORS[j] ** 2 / 4}d)) l{j}{j}")
+        df = df.selectExpr("*", *[f"(c{i}{j} - ({_sum(f'l{i}{k} * l{j}{k}' for k in range(j))})) / l{j}{j} l{i}{j}" for i in range(j + 1, len(DIMS))])
+    for i in P:
+        df = df.selectExpr("*", *[f"({'1d' if i == j else '-(' + _sum(f'l{i}{k} * a{k}{j}' for k in range(j, i)) + ')'}) / l{i}{i} a{i}{j}" for j in range(i + 1)])
+    return df.selectExpr("*", f"2 * ({_sum(f'ln(l{j}{j})' for j in P)}) logdet").select(*keep, *PARAMS)
+
+
+def _diagonal(rows: DataFrame) -> DataFrame:
+    """(pool, m*, s*): medians and scaled MADs of each dimension."""
+    step = SCALE // 32
+    long = rows.select("pool", F.posexplode(F.array(*DIMS)).alias("d", "x")).select(F.struct("pool", "d").alias("pool"), F.floor(F.col("x") / step).alias("cell"))
+    med = cut(_histogram(long, F.col("cell"), {"med": 0.5}), "mcd-median")
+    dev = join_groups(long, med, "pool").select("pool", F.abs(F.col("cell") - F.col("med")).alias("cell"))
+    both = med.join(_histogram(dev, F.col("cell"), {"mad": 0.5}), "pool").select(
+        "pool.pool", "pool.d", ((F.col("med") + 0.5) * step / SCALE).alias("m"), (1.4826 * (F.col("mad") + 0.5) * step / SCALE).alias("s"))
+    return both.groupBy("pool").agg(*[F.max(F.when(F.col("d") == i, F.col(c))).alias(f"{c}{i}") for i in P for c in "ms"])
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """Means and the Cholesky factor of the covariance plus floors, of each pool's rows."""
-    p = range(len(DIMS))
-    sums = rows.groupBy("pool").agg(
-        F.count("*").alias("n"), *[F.sum(DIMS[i]).alias(f"t{i}") for i in p],
-        *[F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"q{i}{j}") for i in p for j in range(i + 1)])
-    n = F.col("n").cast("double")
-    out = sums.select("pool", *[(F.col(f"t{i}") / n / SCALE).alias(f"m{i}") for i in p],
-                      *[(F.col(f"q{i}{j}") / n / SCALE**2 - (F.col(f"t{i}") / n) * (F.col(f"t{j}") / n) / SCALE**2 + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in p for j in range(i + 1)])
-    for j in p:
-        d = F.col(f"c{j}{j}") - reduce(lambda a, b: a + b, [F.col(f"l{j}{k}") ** 2 for k in range(j)], F.lit(0.0))
-        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(d, F.lit(FLOORS[j] ** 2 / 4))))
-        if j + 1 in p:
-            out = out.withColumns({f"l{i}{j}": (F.col(f"c{i}{j}") - reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.lit(0.0))) / F.col(f"l{j}{j}") for i in range(j + 1, len(DIMS))})
-    return out.select("pool", *[f"m{i}" for i in p], *[f"l{i}{j}" for i in p for j in range(i + 1)])
-
-
-def fit(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
-    """MCD of each pool: (pool, m*, l*, factor); factor scales d2 so that its median is the chi-square median."""
-    params = cut(_start(rows), "mcd-start")
+    """(pool, n, m*, c*): means and covariances plus floors of each pool's rows."""
+    sums = rows.groupBy("pool").agg(F.expr("cast(count(*) as double) n"), *[F.expr(f"sum({DIMS[i]}) t{i}") for i in P], *[F.expr(f"sum({DIMS[i]} * {DIMS[j]}) q{i}{j}") for i, j in LOWER])
+    return sums.selectExpr("pool", "n", *[f"t{i} / n / {SCALE} m{i}" for i in P], *[
+        f"q{i}{j} / n / {SCALE**2} - (t{i} / n) * (t{j} / n) / {SCALE**2} + {FLOORS[i] ** 2 if i == j else 0.0}d c{i}{j}" for i, j in LOWER])
+
+
+def _signs(rows: DataFrame, diagonal: DataFrame) -> DataFrame:
+    """(pool, m*, c*): medians and the covariance of the directions of rows from them, scaled by the MADs; a row at the medians has none."""
+    seen = join_groups(rows, diagonal, "pool").selectExpr("pool", *[f"({d} / {SCALE} - m{i}) / s{i} z{i}" for i, d in enumerate(DIMS)])
+    seen = seen.selectExpr("*", _sum(f"z{i} * z{i}" for i in P) + " r2").where("r2 > 0")
+    sums = seen.groupBy("pool").agg(F.expr("count(*) n"), *[F.expr(f"sum(cast(round(z{i} * z{j} / r2 * {SIGNS}) as long)) u{i}{j}") for i, j in LOWER])
+    part = lambda i, j: f"s{i} * s{j} * {len(DIMS)} * coalesce(u{i}{j} / n / {SIGNS}, {1 / len(DIMS) if i == j else 0.0}d) + {FLOORS[i] ** 2 if i == j else 0.0}d c{i}{j}"
+    return diagonal.join(sums, "pool", "left").selectExpr("pool", *[f"m{i}" for i in P], *[part(i, j) for i, j in LOWER])
+
+
+def squared_distance(x: list[str], at: str = "") -> Column:
+    """Of a vector of fixed-point logarithms, to the estimate whose PARAMS are columns, or fields of the struct `at` (with its dot)."""
+    off = [f"({v} / {SCALE} - {at}m{j})" for j, v in enumerate(x)]
+    y = ["(" + _sum(f"{at}a{i}{j} * {off[j]}" for j in range(i + 1)) + ")" for i in P]
+    return F.expr(_sum(f"{v} * {v}" for v in y))
+
+
+def _near(rows: DataFrame, params: DataFrame, pools: int) -> DataFrame:
+    """rows with params of their pool and the histogram cell of their squared distance."""
+    d2 = squared_distance(DIMS)
+    return join_groups(rows, params, "pool", known=pools).withColumn("cell", F.floor(F.log2(1.0 + d2) * CELLS))
+
+
+def fit(rows: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame:
+    """(pool, n, m*, c*): the MCD of each pool of rows (pools array<long>, DIMS), scaled so that the median of d2 is the chi-square median.
+
+    A pool is a long whose last two bits are zero: they tell its starts apart. Concentration goes on until no estimate
+    changes, `steps` times at most. Equal determinants: the first start. Floors widen the metric; the scale never
+    narrows it again.
+    """
+    base = rows.withColumn("pool", F.explode("pools")).drop("pools")
+    every = rows.withColumn("pool", F.explode(F.flatten(F.transform("pools", lambda p: F.array(*[p + k for k in range(STARTS)]))))).drop("pools")
+    diagonal = cut(_diagonal(base), "mcd-diagonal")
+    flat = diagonal.selectExpr("pool", *[f"m{i}" for i in P], *[(f"s{i} * s{i} + {FLOORS[i] ** 2}d" if i == j else "0d") + f" c{i}{j}" for i, j in LOWER])
+    starts = [flat, _moments(base).drop("n"), _signs(base, diagonal)]
+    params = cut(reduce(DataFrame.unionByName, [_factor(x.withColumn("pool", F.col("pool") + k), "pool") for k, x in enumerate(starts)]), "mcd-start")
+    pools = params.count()
+    sign = F.bit_xor(F.xxhash64("pool", *PARAMS))
+    before = None
     for _ in range(steps):
-        near = _distance(rows, params)
-        within = _histogram(near, _cell(F.col("d2")), {"within": share})
-        bound = cut(params.join(within, "pool"), "mcd-bound")
-        params = cut(_moments(_distance(rows, bound).where(_cell(F.col("d2")) <= F.col("within"))), "mcd-step")
-    middle = _histogram(_distance(rows, params), _cell(F.col("d2")), {"cell": 0.5})
-    # floors widen the metric; a factor under 1 would undo that, so it never falls below it
-    factor = F.greatest(F.lit(1.0), (F.pow(F.lit(2.0), (F.col("cell") + 0.5) / CELLS) - 1) / CHI2_MEDIAN)
-    return cut(params.join(middle, "pool").select(*params.columns, factor.alias("factor")), "mcd-fit")
+        within = _histogram(_near(every, params, pools), F.col("cell"), {"within": share})
+        bound = params.select("pool", *PARAMS).join(within, "pool")
+        params = cut(_factor(_moments(_near(every, bound, pools).where("cell <= within")), "pool", *[f"c{i}{j}" for i, j in LOWER]), "mcd-step")
+        after = params.agg(sign).first()[0]
+        if after == before:
+            break
+        before = after
+    home = F.col("pool").bitwiseAND(F.lit(-4))
+    best = params.groupBy(home.alias("home")).agg(F.min(F.struct(F.round("logdet", 9).alias("logdet"), F.col("pool"))).alias("best")).select("home", F.col("best.pool").alias("pool"))
+    best = cut(best.join(params, "pool").drop("pool").withColumnRenamed("home", "pool"), "mcd-best")
+    middle = _histogram(_near(base, best, pools), F.col("cell"), {"at": 0.5})
+    sizes = base.groupBy("pool").agg(F.count("*").alias("n"))
+    wide = F.greatest(F.lit(1.0), (F.pow(F.lit(2.0), (F.col("at") + 0.5) / CELLS) - 1) / CHI2_MEDIAN)
+    return best.join(middle, "pool").join(sizes, "pool").withColumn("wide", wide).selectExpr("pool", "n", *[f"m{i}" for i in P], *[f"c{i}{j} * wide c{i}{j}" for i, j in LOWER])
 
 
-def judge(docs: DataFrame, least: int = 100, share: float = 0.75, steps: int = 3, cutoff: float = CHI2_CUT, whole: bool = False) -> DataFrame:
+def _shrunk(own: DataFrame, wider: DataFrame, key: str) -> DataFrame:
+    """own (key, n, m*, c*, ...) mixed with `wider` (key, wm*, wc*): n - NONE rows of the one and the rest of n + SHRINK of the other."""
+    rest = [c for c in own.columns if c[0] not in "mc"]
+    mixed = own.join(wider, key).selectExpr("*", f"greatest(n - {NONE}, 0) / (n + {SHRINK}) w")
+    return mixed.selectExpr(*rest, *[f"w * m{i} + (1 - w) * wm{i} m{i}" for i in P], *[f"w * c{i}{j} + (1 - w) * wc{i}{j} + w * (1 - w) * (m{i} - wm{i}) * (m{j} - wm{j}) c{i}{j}" for i, j in LOWER])
+
+
+def _wider(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, *[F.col(c).alias("w" + c) for c in df.columns if c[0] in "mc"])
+
+
+def estimates(rows: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame:
+    """(source_key, PARAMS): what each language and source of rows (source_key, lang_key, DIMS) is judged by.
+
+    The keys are longs whose last two bits are zero.
+    """
+    table = F.lit(0).cast("long")
+    got = cut(fit(rows.select(F.array("source_key", "lang_key", table).alias("pools"), *DIMS), share, steps), "mcd-fit")
+    groups = cut(rows.select("source_key", "lang_key").distinct(), "mcd-groups")
+    whole = got.where("pool = 0").withColumn("lang_key", F.lit(None).cast("long"))
+    langs = groups.select("lang_key").distinct().join(got.withColumnRenamed("pool", "lang_key"), "lang_key")
+    wide = _wider(whole, "lang_key").drop("lang_key")
+    langs = langs.join(F.broadcast(wide))  # one row
+    langs = _shrunk(langs.select("lang_key", "n", *[c for c in got.columns if c[0] in "mc"]), langs.select("lang_key", *wide.columns), "lang_key")
+    own = groups.join(got.withColumnRenamed("pool", "source_key"), "source_key")
+    return _factor(_shrunk(own, _wider(langs, "lang_key"), "lang_key"), "source_key")
+
+
+def judge(docs: DataFrame, share: float = 0.75, steps: int = 5, cutoff: float = CHI2_CUT, whole: bool = False) -> DataFrame:
     """Base counts and the verdict of every row of docs (text, lang, source).
 
-    Returns doc_id, the five counts, base_failed, distance (null where base_failed) and kept; with whole=True every column of docs instead, and the same verdicts in the columns named
-    by ``verdict_columns``. Null and empty texts have no words, so they fail the base rule. Rows that fail it take no
-    part in the estimates. Null languages and sources are values of their own. A language and source with fewer than
-    `least` rows is judged within its language's small sources, then within all such rows; with fewer than `least`
-    there, against all rows of its language, or of the table where the language has fewer. Repeated rows are judged alike. An empty table gives an empty result.
+    Returns doc_id, the five counts, base_failed, distance (null where base_failed) and kept; with whole=True the rows
+    that are kept, with every column of docs, instead. Null and empty texts have no words, so they fail the base rule.
+    Rows that fail it take no part in the estimates. Null languages and sources are values of their own. Repeated rows
+    are judged alike and weigh as often as they occur; ties at the edge of a concentration step are all taken. Other
+    columns may have any name. An empty table gives an empty result.
     """
-    names = fresh(docs, "qr_stats", "qr_failed", "qr_source", "qr_lang")
-    st, failed, sk, lk = names
+    names = fresh(docs, "qr_stats", "qr_failed", "qr_vector", "qr_source", "qr_lang", "qr_params")
+    st, failed, vec, sk, lk, pr = names
+    key = lambda *c: F.xxhash64(_key(*c)).bitwiseAND(F.lit(-4))
     table = docs.withColumn(st, stat_columns(F.col("text")))
-    table = table.withColumn(failed, base_failed(F.col(st))).withColumn(lk, _key(F.col("lang"))).withColumn(sk, _key(F.col("lang"), F.col("source")))
-    keep = [c for c in docs.columns] if whole else ["doc_id"]
-    table = cut(table.select(*keep, *names), "quality")
-    rows = table.where(~F.col(failed)).select(F.col(sk).alias("source_key"), F.col(lk).alias("lang_key"), *[v.alias(d) for d, v in zip(DIMS, vector(F.col(st)))])
-    pools = cut(_pools(rows, least), "mcd-pools")
-    pooled = cut(join_groups(rows, cut(_members(pools), "mcd-members"), "source_key").select("pool", *DIMS), "mcd-rows")
-    params = pools.join(fit(pooled, share, steps), "pool").drop("pool", "lang_key")
-    params = cut(params.select(F.col("source_key").alias(sk), *[F.col(c).alias("mcd_" + c) for c in params.columns if c != "source_key"]), "mcd-params")
+    table = table.withColumns({failed: base_failed(F.col(st)), vec: F.array(*vector(F.col(st))), lk: key(F.lit("lang"), F.col("lang")), sk: key(F.col("lang"), F.col("source"))})
+    keep = every(docs) if whole else ["doc_id"]
+    table = cut(table.select(*keep, st, failed, vec, sk, lk), "quality")
+    rows = table.where(~F.col(failed)).select(F.col(sk).alias("source_key"), F.col(lk).alias("lang_key"), *[F.col(vec)[i].alias(d) for i, d in enumerate(DIMS)])
+    params = estimates(cut(rows, "mcd-rows"), share, steps)
+    params = cut(params.select(F.col("source_key").alias(sk), F.struct(*PARAMS).alias(pr)), "mcd-params")
     out = join_groups(table, params, sk, "left")
-    x = dict(zip(DIMS, vector(F.col(st))))
-    ys: list[Column] = []
-    for i, d in enumerate(DIMS):
-        y = x[d] / SCALE - F.col(f"mcd_m{i}")
-        for j in range(i):
-            y = y - F.col(f"mcd_l{i}{j}") * F.col(f"mcd_y{j}")
-        out = out.withColumn(f"mcd_y{i}", y / F.col(f"mcd_l{i}{i}"))
-        ys.append(F.col(f"mcd_y{i}") ** 2)
-    distance = F.when(~F.col(failed), reduce(lambda a, b: a + b, ys) / F.col("mcd_factor"))
-    kept = ~F.col(failed) & (F.coalesce(distance, F.lit(0.0)) <= cutoff)
+    distance = F.when(~F.col(failed), squared_distance([f"{vec}[{i}]" for i in P], pr + "."))
+    kept = ~F.col(failed) & (distance <= cutoff)
     if whole:
-        return out.where(kept).select(*docs.columns)
+        return out.where(kept).select(*keep)
     return out.select("doc_id", *[F.col(st)[s].alias(s) for s in STATS], F.col(failed).alias("base_failed"), F.round(distance, 6).alias("distance"), kept.alias("kept"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs."""
+    """The rows of docs that the rules keep, with the columns of docs; see judge() for odd input."""
     return judge(docs, whole=True)

@@ -31,7 +31,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mixing.copies(read(spark, sf_dir, "documents"))
+    got = mixing.copies(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 

@@ -1,17 +1,21 @@
 """Sharding into contiguous runs of atomic groups whose largest shard is as small as can be.
 
-Groups (equal texts) stand in the order of a 64-bit hash. The smallest feasible capacity is found by binary search,
-each trial filling shards greedily. No list of groups is gathered for that: the driver holds sums of hash intervals,
-and refines, 4096-fold at a time, only intervals in which a cut may fall, until the answer no longer depends on them.
-The cuts are then hash values, so assigning a row is a comparison with a few literals.
+Groups (equal texts) stand in the order of a 64-bit hash, but groups larger than an even share, of which there are fewer
+than shards, stand first by falling size. The smallest feasible capacity is found by binary search, each trial filling
+shards greedily. No list of groups is gathered for that: the driver holds sums of hash intervals, and refines, 4096-fold
+at a time, only intervals in which a cut may fall, until the answer no longer depends on them. Many cuts are feasible
+under that capacity; of those at the intervals' borders a second search takes ones whose smallest shard is largest, so
+that no shard is left over. The cuts are then hash values, so assigning a row is a comparison with a few literals.
 """
 
 from __future__ import annotations
 
 import bisect
+from functools import reduce
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -60,6 +64,67 @@ def _search(sums: _Sums, shards: int, whole: bool) -> int:
     return lo
 
 
+def _even(sums: _Sums, shards: int, capacity: int) -> list[int]:
+    """The items at which shards end: none over the capacity, and the smallest as large as cuts between items allow."""
+    to = np.array(sums.to, np.int64)
+
+    def reach(least: int) -> list[np.ndarray] | None:
+        """Which items j shards may end at, for j = 0, 1, ..."""
+        low, high = np.searchsorted(to, to - capacity, "left"), np.searchsorted(to, to - least, "right")
+        ways = [np.arange(len(to)) == 0]
+        for _ in range(shards):
+            before = np.concatenate([[0], np.cumsum(ways[-1])])
+            ways.append(before[np.maximum(high, low)] > before[low])
+        return ways if ways[-1][-1] else None
+
+    lo, hi = 0, int(to[-1]) // shards
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if reach(mid):
+            lo = mid
+        else:
+            hi = mid - 1
+    ways, at, ends = reach(lo), len(to) - 1, []
+    for j in range(shards - 1, 0, -1):
+        a, b = np.searchsorted(to, to[at] - capacity, "left"), np.searchsorted(to, to[at] - lo, "right")
+        may = a + np.flatnonzero(ways[j][a:b])
+        at = int(may[np.argmin(np.abs(to[may] - to[at] * (j / (j + 1))))])
+        ends.append(at)
+    return ends[::-1]
+
+
+def _split(rows: DataFrame, intervals: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """The parts, 4096 of each, of intervals (start, bits) that hold rows, as items of _Sums."""
+    out = []
+    wide: dict[int, list[int]] = {}
+    for start, bits in intervals:
+        wide.setdefault(bits, []).append(start)
+    for bits, starts in wide.items():
+        step = min(STEP, bits)
+        inside = F.shiftright("key", bits).isin([s >> bits for s in starts]) if bits < 64 else F.lit(True)
+        cell = F.shiftright("key", bits - step) if bits - step else F.col("key")
+        got = rows.where(inside).groupBy(cell.alias("cell")).agg(F.sum("size").alias("size"), F.min("key").alias("a"), F.max("key").alias("b")).collect()
+        out += [(r["a"], 0, r["size"]) if r["a"] == r["b"] else (r["cell"] << (bits - step), bits - step, r["size"]) for r in got]
+    return out
+
+
+def heavy(rows: DataFrame, shards: int) -> list[int]:
+    """Keys of the groups larger than an even share, by falling size; found by refining the intervals that are."""
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    live, found = [(LO, 64)] if total else [], []
+    while live:
+        large = [x for x in _split(rows, live) if x[2] * shards > total]
+        found += [x for x in large if not x[1]]
+        live = [x[:2] for x in large if x[1]]
+    return [k for k, _, _ in sorted(found, key=lambda x: (-x[2], x[0]))]
+
+
+def ordered(key: Column, first: list[int]) -> Column:
+    """Keys with those of `first` moved before all others, in that order."""
+    rest = F.greatest(key, F.lit(LO + len(first)))
+    return reduce(lambda out, x: F.when(key == x[1], F.lit(LO + x[0])).otherwise(out), enumerate(first), rest)
+
+
 def cuts(rows: DataFrame, shards: int) -> tuple[list[int], int]:
     """The first key of every shard but the first, and the capacity, of rows (key long, size long)."""
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -84,19 +149,11 @@ def cuts(rows: DataFrame, shards: int) -> tuple[list[int], int]:
                     open_at |= set(range(min(a, b), max(a, b) + 1))
             open_at = {k for k in open_at if sums.items[k][1]}
         if not open_at:
-            ends = sums.greedy(worst, shards, True)[1]
+            ends = _even(sums, shards, worst)
             at = [sums.items[k][0] if k < len(sums.items) else HI - 1 for k in ends][: shards - 1]
             return at + [HI - 1] * (shards - 1 - len(at)), worst
-        wide: dict[int, list[int]] = {}
-        for k in open_at:
-            wide.setdefault(sums.items[k][1], []).append(sums.items[k][0])
         keep = [x for k, x in enumerate(sums.items) if k not in open_at]
-        for bits, starts in wide.items():
-            step = min(STEP, bits)
-            inside = F.shiftright("key", bits).isin([s >> bits for s in starts]) if bits < 64 else F.lit(True)
-            cell = F.shiftright("key", bits - step) if bits - step else F.col("key")
-            got = rows.where(inside).groupBy(cell.alias("cell")).agg(F.sum("size").alias("size"), F.min("key").alias("a"), F.max("key").alias("b")).collect()
-            keep += [(r["a"], 0, r["size"]) if r["a"] == r["b"] else (r["cell"] << (bits - step), bits - step, r["size"]) for r in got]
+        keep += _split(rows, [sums.items[k][:2] for k in sorted(open_at)])
         sums = _Sums(keep)
 
 
@@ -109,6 +166,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = cut(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64("text").alias("key")), "shard-rows")
+    rows = rows.withColumn("key", ordered(F.col("key"), heavy(rows, shards)))
     at, _ = cuts(rows, shards)
     where = F.lit(0)
     for c in at:

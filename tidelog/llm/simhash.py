@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fresh, pieces
+from tidelog.llm.common import every, fresh, pieces
 from tidelog.llm.components import components
 from tidelog.storage import cut
 
@@ -134,12 +134,12 @@ def stage(docs: DataFrame) -> DataFrame:
     """
     ids = cut(near_duplicates(docs), "simhash-verdict")
     gone = ids.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*every(docs))
     twice = cut(ids.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-twice")
     if twice.isEmpty():
         return left
     rank, = fresh(docs, "sh_hash")
-    again = left.join(twice, "doc_id", "left_semi").select(*docs.columns)
-    again = again.withColumn(rank, F.xxhash64(*docs.columns))
+    again = left.join(twice, "doc_id", "left_semi").select(*every(docs))
+    again = again.withColumn(rank, F.xxhash64(*every(docs)))
     pick = again.groupBy("doc_id").agg(F.min(rank).alias(rank))
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.join(pick, ["doc_id", rank]).select(*docs.columns).dropDuplicates(["doc_id"]))
+    return left.join(twice, "doc_id", "left_anti").select(*every(docs)).unionByName(again.join(pick, ["doc_id", rank]).select(*every(docs)).dropDuplicates(["doc_id"]))

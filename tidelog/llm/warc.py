@@ -79,9 +79,12 @@ class Reader:
                 self.ready += got
                 return True
 
-    def _until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while (k := self.ready.find(mark)) < 0:
-            if len(self.ready) > most or not self._more():
+    def _until(self, mark: bytes) -> bytes:
+        """What stands before mark, however long it is: a header may carry any url that the writer took."""
+        seen = 0
+        while (k := self.ready.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.ready)
+            if not self._more():
                 raise BadRecord("a header has no end")
         out, self.ready = self.ready[:k], self.ready[k + len(mark) :]
         return out
@@ -162,24 +165,32 @@ def _writer(folder: str, roll: int, level: int) -> Callable[[Iterator[pd.DataFra
     return of
 
 
+def _digest(html):
+    return F.unhex(F.sha2(F.coalesce(html, F.lit("")), 256))
+
+
 def roles(pages: DataFrame, least: int = 100) -> DataFrame:
-    """(page_id, refers_to) of the pages that revisit an equal payload of at least `least` bytes under a smaller page_id."""
+    """(page_id, digest, refers_to) of the payloads that revisit an equal one of at least `least` bytes under a smaller page_id.
+
+    A page_id that occurs with several payloads has a row for each that is a revisit.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = cut(pages.where(F.octet_length(html) >= least).select("page_id", F.unhex(F.sha2(html, 256)).alias("digest")), "warc-digests")
+    rows = cut(pages.where(F.octet_length(html) >= least).select("page_id", _digest(html).alias("digest")), "warc-digests")
     first = rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(first, "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return rows.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str | None = None, least: int = 100, roll: int = ROLL, level: int = 6) -> DataFrame:
     """Write pages (page_id, url, html) and return the table of archives (archive, records, bytes), archive a full path.
 
     Null html is an empty payload. A row with a null page_id is written as a response that nothing refers to. Rows that
-    repeat a page_id are records of their own, of one role. An empty table gives no archives.
+    repeat a page_id are records of their own, each with the role of its payload. An empty table gives no archives.
     """
     folder = folder or new_path(pages.sparkSession, "warc")
     again = cut(roles(pages, least), "warc-roles")
     html = F.col("html") if "html" in pages.columns else F.lit(None).cast("string")
-    rows = pages.select("page_id", "url", html.alias("html")).join(again, "page_id", "left")
+    rows = pages.select("page_id", "url", html.alias("html"))
+    rows = rows.withColumn("digest", _digest(F.col("html"))).join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
     made = cut(rows.mapInPandas(_writer(folder, roll, level), "archive string, records long, bytes long"), "warc-manifest")
     return made.withColumn("archive", F.concat(F.lit(folder + "/"), "archive"))
 
