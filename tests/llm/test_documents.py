@@ -222,6 +222,33 @@ def test_mixing(spark, odd, empty, sf):
     assert staged.columns == docs.columns and staged.count() == sum(r.copies for r in got)
 
 
+def test_components_are_exactly_what_links_reach(spark):
+    """Over sf0.01: component_id is the smallest doc_id of a union-find over all pairs, and the bound lets few pairs through to the exact test."""
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    got = simhash.near_duplicates(docs).collect()
+    fp = np.array([int(r.fingerprint, 16) for r in got], np.uint64)
+    root = list(range(len(got)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    pairs = set()
+    for a in range(len(got)):
+        for b in np.flatnonzero(np.bitwise_count(fp[a + 1 :] ^ fp[a]) <= 4) + a + 1:
+            root[find(a)] = find(b)
+            if fp[a] != fp[b]:
+                pairs.add((min(int(fp[a]), int(fp[b])), max(int(fp[a]), int(fp[b]))))
+    least = {}
+    for k, r in enumerate(got):
+        least[find(k)] = min(least.get(find(k), r.doc_id), r.doc_id)
+    assert [r.component_id for r in got] == [least[find(k)] for k in range(len(got))]
+    nodes = simhash.fingerprints(docs).groupBy("fp").agg(F.min("doc_id").alias("node"))
+    bound = simhash.candidates(nodes).count()
+    assert len(pairs) <= bound <= 4 * len(pairs) + 50
+
+
 def test_inclusion_follows_probability(spark, make):
     """Over seeds, a unit is drawn about as often as its share, the largest documents too; each mix comes near its target."""
     rng = random.Random(2)

@@ -6,7 +6,9 @@ in unary (0, 1, 11) the embedding is one long and that distance is bit_count(x ^
 
 The grid: segments are dealt into `blocks` blocks. Within distance 4, at least blocks - 4 blocks of two embeddings
 are equal, so each fingerprint enters one cell for every choice of blocks - 4 of them, and pairs meet in cells.
-A pair counts only in the first cell it shares, and only if both the bound and the exact distance hold.
+A pair counts only in the first cell it shares. Two steps follow: candidates are the pairs whose Manhattan distance is
+within the bound, links those whose fingerprints are. Two-bit segments make that bound tight, since it loses a pair's
+distance only where 01 meets 10; wider ones would let through many more of the pairs that share a cell.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from tidelog.llm.components import components
 from tidelog.storage import cut
 
 DISTANCE = 4
-#: Distinct fingerprints up to which a grid of so many blocks is used. More blocks make more and finer cells; every grid finds the same pairs.
-GRIDS = ((4_000_000, 6), (200_000_000, 7), (1 << 62, 8))
+#: Distinct fingerprints up to which a grid of so many blocks is used. More blocks make more and finer cells; every grid
+#: finds the same pairs. Of random fingerprints, a share of 4e-4, 5e-5, 1e-5 and 3e-6 of all pairs meet in a cell with 6, 7, 8 and 9 blocks.
+GRIDS = ((1_000_000, 6), (30_000_000, 7), (500_000_000, 8), (1 << 62, 9))
 
 
 def fingerprint(text: str | None, size: int = 4) -> int:
@@ -78,8 +81,8 @@ def _masks(blocks: int) -> tuple[int, ...]:
     return tuple(sum(3 << 2 * s for s in range(k, 32, blocks)) for k in range(blocks))
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
-    """(a, b) with a < b: all pairs of the distinct longs `node`, by their fp, within that Hamming distance.
+def candidates(fps: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
+    """(node_x, fp_x, node_y, fp_y): all pairs of the distinct longs `node` whose embeddings are within that Manhattan distance.
 
     Cells hold distinct fingerprints only, so copies of a text never meet each other here; the join's hash
     partitions can be split where a cell is crowded.
@@ -104,8 +107,15 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -
     code = reduce(lambda p, q: p + q, [F.when(s & (equal_before[k] < need), F.lit(1 << k)).otherwise(F.lit(0)) for k, s in enumerate(same)])
     first = code == own
     met = x.join(y, (F.col("cell_x") == F.col("cell_y")) & (F.col("pick_x") == F.col("pick_y")) & (F.col("fp_x") < F.col("fp_y"))
-                 & (F.bit_count(apart) <= distance) & (F.bit_count(F.col("fp_x").bitwiseXOR(F.col("fp_y"))) <= distance) & first)
-    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+                 & (F.bit_count(apart) <= distance) & first)
+    return met.select("node_x", "fp_x", "node_y", "fp_y")
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
+    """(a, b) with a < b: all pairs of the distinct longs `node`, by their fp, within that Hamming distance."""
+    found = cut(candidates(fps, distance, blocks), "simhash-candidates")
+    exact = found.where(F.bit_count(F.col("fp_x").bitwiseXOR(F.col("fp_y"))) <= distance)
+    return exact.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = 4, blocks: int | None = None) -> DataFrame:
@@ -130,7 +140,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = 4, bl
 def stage(docs: DataFrame) -> DataFrame:
     """One row of each group stays: that with the smallest doc_id; of rows repeating it, the first by their values.
 
-    Rows without a doc_id stay, as nothing names them.
+    Rows without a doc_id stay, as nothing names them. Null, empty and blank texts are one group. Other columns may have
+    any name and hold nulls; an empty table gives an empty result.
     """
     ids = cut(near_duplicates(docs), "simhash-verdict")
     gone = ids.where("doc_id <> component_id").select("doc_id").distinct()
