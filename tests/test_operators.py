@@ -333,3 +333,53 @@ def test_plans(spark, sf):
     assert "Cartesian" not in plan("range_history") and "NestedLoop" not in plan("range_history")
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in plan("audit_by_type")
     assert "TakeOrdered" in plan("audit_latest")
+
+
+def test_a_batch_with_an_unroutable_record_is_refused(spark, tmp_path):
+    """Nothing of it is appended; with ranges that own it the stream goes on, and no record is lost or written twice."""
+    recs = spark.createDataFrame([(k, "t", f"k{k}", f"v{k}", k % 16) for k in range(40)], "seq long, topic string, key string, value string, pos long")
+    half = spark.createDataFrame([("t", 1, 0, 8)], "topic string, seq long, key_start long, key_end long")
+    full = half.union(spark.createDataFrame([("t", 2, 8, 12), ("t", 3, 12, 16)], half.schema))
+    recs.coalesce(1).write.parquet(f"{tmp_path}/in")
+    run = lambda active: live.produce_stream(spark.readStream.schema(recs.schema).parquet(f"{tmp_path}/in"), active, f"{tmp_path}/log", f"{tmp_path}/cp", "seq")
+    q = run(half)
+    with pytest.raises(Exception, match="no range for position"):
+        q.awaitTermination(120)
+    assert not (tmp_path / "log").exists()
+    assert run(full).awaitTermination(120)
+    log = spark.read.parquet(f"{tmp_path}/log")
+    assert sorted(r.seq for r in log.collect()) == list(range(40))
+    got = produce.produced(recs.withColumn("batch", F.expr("seq div 8")), full.where("seq <> 3"), "batch")
+    assert got.count() == 40 and {r.batch for r in got.where("accepted").collect()} == {0, 2, 4}
+
+
+def test_placement_moves_nothing(spark):
+    """Scoring is done row by row: its plans hold no exchange and no window."""
+    items = spark.range(1000).select(F.concat(F.lit("s"), "id").alias("segment"))
+    brokers = spark.createDataFrame([(f"b{k}", f"r{k % 3}") for k in range(9)], "broker string, rack string")
+    for df in (placement.place(items, brokers, 3), placement.spread(items, brokers, 3, "rack"), placement.ranked(items, brokers)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_as_of_in_blocks_equals_the_scan(spark):
+    rng = random.Random(1)
+    starts = [("t", r, o, o // 3) for r in (1, 2) for o in sorted(rng.sample(range(3000), 40))]
+    wanted = [("t", r, o) for r in (1, 2, 3) for o in range(0, 4000, 7)]
+    s = spark.createDataFrame(starts, "topic string, range_seq long, offset long, position long")
+    w = spark.createDataFrame(wanted, "topic string, range_seq long, target long")
+    want = {(t, r, o, max(x)[0], max(x)[1]) for t, r, o in wanted if (x := [(a, p) for _, rr, a, p in starts if rr == r and a <= o])}
+    for block in (1, 100, 1 << 12):
+        assert {tuple(x) for x in metadata.as_of(w, "target", s, "offset", block).select("topic", "range_seq", "target", "offset", "position").collect()} == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 1000])
+def test_owner_equals_the_scan(spark, n):
+    rng = random.Random(n)
+    tokens = sorted(rng.sample(range(1 << 32), n))
+    r = [(f"v{t}", t) for t in tokens]
+    hashes = [0, (1 << 32) - 1, *tokens, *[t + 1 for t in tokens[:-1]], *rng.sample(range(1 << 32), 200)]
+    df = spark.createDataFrame([(h,) for h in hashes], "h long")
+    got = {x.h: x.v for x in df.select("h", ring.owner(F.col("h"), r).alias("v")).collect()}
+    for h in hashes:
+        assert got[h] == f"v{next((t for t in tokens if t >= h), tokens[0])}"

@@ -24,7 +24,7 @@ def history(log: DataFrame, readers: DataFrame, ranges: DataFrame) -> DataFrame:
     """Every record that each of `readers` reads, of all `ranges`: its ancestors' in its key slice, then its own."""
     sources = lineage(readers, ranges)
     on = (F.col("l.topic") == F.col("s.topic")) & (F.col("l.range_seq") == F.col("s.source"))
-    met = log.alias("l").join((F.broadcast(sources) if _few(ranges) else sources).alias("s"), on)
+    met = log.alias("l").join((F.broadcast(sources) if _few(sources) else sources).alias("s"), on)
     return met.where("s.own or (l.pos >= s.key_start and l.pos < s.key_end)").select("l.*", F.col("s.seq").alias("reader"), "s.source_index")
 
 
@@ -81,9 +81,27 @@ def fetch_member(log: DataFrame, ranges: DataFrame, commits: DataFrame, assignme
     return page(after(history(log, active, ranges), committed(commits, ranges).where(F.col("group") == group)), most)
 
 
+def fetch(log: DataFrame, ranges: DataFrame, commits: DataFrame, assignment: DataFrame | None = None, *, topic: str | None = None, cursor: DataFrame | None = None, group: str | None = None, member: str | None = None, most: int | None = None) -> DataFrame:
+    """One client request: a member of a group reads its ranges; else a cursor (topic, range_seq, source_index, source_offset) goes before a group's positions; with neither, from the start.
+
+    topic: only its records. most is held within the client's bounds.
+    """
+    most, _, _ = bounds(most, None, None)
+    if topic is not None:
+        log, ranges, commits = (df.where(F.col("topic") == topic) for df in (log, ranges, commits))
+    active = ranges.where("state = 'active'")
+    if member is not None and group is not None and assignment is not None:
+        return fetch_member(log, ranges, commits, assignment, group, member, most)
+    if cursor is not None:
+        return page(after(history(log, active, ranges), cursor), most)
+    if group is not None:
+        return fetch_group(log, ranges, commits, group, most)
+    return page(history(log, active, ranges), most)
+
+
 def client_view(records: DataFrame) -> DataFrame:
-    """What clients see: no offsets."""
-    return records.select("topic", "key", "value", "timestamp")
+    """What clients see: no offsets; headers where records have them."""
+    return records.select("topic", "key", "value", "timestamp", *[c for c in ("headers",) if c in records.columns])
 
 
 def encode_cursor(positions: Column) -> Column:

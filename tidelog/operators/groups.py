@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.folds import ordered_fold
 from tidelog.operators.placement import ranked
 from tidelog.operators.ring import route
 
@@ -21,6 +25,42 @@ def assign(ranges: DataFrame, members: DataFrame) -> DataFrame:
     return best.select("topic", "range_seq", F.col("broker").alias("member"))
 
 
+def best_member(item: str, members: Iterable[str]) -> str:
+    return max(members, key=lambda m: (hashlib.md5(f"{item}|{m}".encode()).hexdigest(), m))
+
+
+def coordinator(commands: DataFrame, ranges: Mapping[str, list[int]], session_ms: int) -> DataFrame:
+    """commands (group, topic, seq, op, member, now) with what the group's coordinator answers and its generation after each.
+
+    join and poll register a member, heartbeat only refreshes a known one, leave takes it out, tick evicts members that
+    were silent for longer than session_ms. The generation moves only where the assignment of the topic's active ranges
+    does, and a group without members is forgotten. ranges: the active ranges of each topic, cluster metadata. Commands
+    of a group are one sequence; groups are spread over all tasks.
+    """
+    topics = {t: sorted(r) for t, r in ranges.items()}
+
+    def step(state, topic: str, seq: int, op: str, member: str, now: int):
+        members, held, generation = state
+        known, answer = member in members, "ok"
+        members = dict(members)
+        if op in ("join", "poll") or (op == "heartbeat" and known):
+            members[member] = now
+        elif op == "heartbeat":
+            answer = "unknown_member"
+        elif op == "leave":
+            members.pop(member, None)
+        elif op == "tick":
+            members = {m: at for m, at in members.items() if at >= now - session_ms}
+        if not members:
+            return ({}, None, 0), (seq, answer, 0, 0, 0)
+        if op in ("leave", "tick") or op == "join" or (op == "poll" and not known):
+            new = tuple(best_member(f"{topic}/{r}", members) for r in topics.get(topic, ()))
+            generation, held = generation + (new != held), new
+        return (members, held, generation), (seq, answer, generation, len(members), sum(m == member for m in held or ()))
+
+    return ordered_fold(commands, ("group", "topic"), ("seq",), ("topic", "seq", "op", "member", "now"), lambda: ({}, None, 0), step, "group string, topic string, seq long, answer string, generation long, members long, owned long")
+
+
 def assignment_of(ranges: DataFrame, members: DataFrame) -> DataFrame:
     """(member, ranges): every member, idle ones with an empty list."""
     a = assign(ranges, members).groupBy("member").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("/", "topic", F.col("range_seq").cast("string")))), ",").alias("ranges"))
@@ -46,3 +86,8 @@ def merge_views(views: DataFrame) -> DataFrame:
 
 def alive(members: DataFrame) -> DataFrame:
     return members.where("status = 'alive'").select("member").orderBy("member")
+
+
+def leader(members: DataFrame) -> DataFrame:
+    """(member): the lowest live member, which leads; no row if none is alive."""
+    return alive(members).limit(1)

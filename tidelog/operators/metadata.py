@@ -63,22 +63,36 @@ def detail(ranges: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def flat_detail(ranges: DataFrame, segments: DataFrame) -> DataFrame:
-    d = detail(ranges, segments).select("topic", F.inline("ranges"))
-    return d.select("topic", "seq", "key_start", "key_end", F.col("state").alias("range_state"), F.inline_outer("segments")).select("topic", "seq", "key_start", "key_end", "range_state", "seg_seq", F.col("state").alias("segment_state"), "start_offset", "length", "byte_size")
+    """detail() as rows, a range's segments beside it: a join, with nothing gathered; a range without segments is a row too."""
+    s = segments.select("topic", F.col("range_seq").alias("seq"), "seg_seq", F.col("state").alias("segment_state"), "start_offset", "length", "byte_size")
+    r = ranges.select("topic", "seq", "key_start", "key_end", F.col("state").alias("range_state"))
+    return r.join(s, ["topic", "seq"], "left").select("topic", "seq", "key_start", "key_end", "range_state", "seg_seq", "segment_state", "start_offset", "length", "byte_size")
 
 
 def earliest(segments: DataFrame) -> DataFrame:
     return segments.groupBy("topic", "range_seq").agg(F.coalesce(F.min("start_offset"), F.lit(0)).alias("earliest"))
 
 
-def locate(segments: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (topic, range_seq, offset) with the last segment that starts at or before each offset: a backward as-of join.
+def as_of(wanted: DataFrame, at: str, starts: DataFrame, start: str, block: int = 1 << 12) -> DataFrame:
+    """wanted (topic, range_seq, at) with the last row of starts (topic, range_seq, start, ...) whose start is at or before `at`.
 
-    Segments end where the next begins, which makes intervals; the join is on the range, then by interval.
+    A row of starts holds up to the next one, the last of a range up to what is wanted. These spans are cut at multiples
+    of `block` and met by (range, block), so a range of any length is spread over its blocks, and a row meets only the
+    starts of its own block. Rows before the first start are left out.
     """
-    end = F.lead("start_offset").over(W.partitionBy("topic", "range_seq").orderBy("start_offset"))
-    spans = segments.select("topic", "range_seq", "seg_seq", "start_offset", end.alias("end"))
-    return wanted.join(spans, ["topic", "range_seq"]).where("offset >= start_offset and (end is null or offset < end)").select("topic", "range_seq", "offset", "seg_seq", "start_offset")
+    key = ["topic", "range_seq"]
+    reach = wanted.groupBy(*key).agg((F.max(at) + 1).alias("_reach"))
+    spans = starts.withColumn("_end", F.lead(start).over(W.partitionBy(*key).orderBy(start))).join(reach, key)
+    spans = spans.withColumn("_end", F.least(F.coalesce("_end", "_reach"), "_reach")).where(F.col("_end") > F.col(start))
+    spans = spans.withColumn("_block", F.explode(F.expr(f"sequence({start} div {block}, (_end - 1) div {block})")))
+    met = wanted.withColumn("_block", F.expr(f"{at} div {block}")).join(spans.drop("_reach"), [*key, "_block"])
+    return met.where((F.col(at) >= F.col(start)) & (F.col(at) < F.col("_end"))).drop("_block", "_end")
+
+
+def locate(segments: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (topic, range_seq, offset) with the last segment that starts at or before each offset: a backward as-of join."""
+    starts = segments.select("topic", "range_seq", "seg_seq", "start_offset")
+    return as_of(wanted.select("topic", "range_seq", "offset"), "offset", starts, "start_offset").select("topic", "range_seq", "offset", "seg_seq", "start_offset")
 
 
 def segment_read(log: DataFrame, topic: str, range_seq: int, offset: int, most: int) -> DataFrame:
@@ -107,8 +121,8 @@ def sparse_index(log: DataFrame, interval: int = 4096) -> DataFrame:
 
 def sparse_seek(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """The greatest indexed offset at or before each wanted (topic, range_seq, target), and its position."""
-    met = wanted.join(index, ["topic", "range_seq"]).where("offset <= target")
-    return met.groupBy("topic", "range_seq", "target").agg(F.max("offset").alias("offset"), F.max_by("position", "offset").alias("position"))
+    starts = index.select("topic", "range_seq", "offset", "position")
+    return as_of(wanted.select("topic", "range_seq", "target"), "target", starts, "offset").select("topic", "range_seq", "target", "offset", "position")
 
 
 def export_topic(name: str, topics: DataFrame, ranges: DataFrame, segments: DataFrame, committed: DataFrame) -> DataFrame:

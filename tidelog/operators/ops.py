@@ -104,18 +104,49 @@ def locked(attempts: DataFrame, most: int, base_ms: int, now_ms: int) -> DataFra
     return last.where(F.col("locked_until") > now_ms).select("username", "ip", (F.col("locked_until") - now_ms).alias("remaining_ms"))
 
 
-def session_status(checks: DataFrame, sessions: DataFrame, now_s: int) -> DataFrame:
+def session_status(checks: DataFrame, sessions: DataFrame, now_s: int, bind_agent: bool = False) -> DataFrame:
     """checks (check_id, token, ip) against sessions (token, username, ip, expires_at): status, and the audit events it emits.
 
-    Expiry is reported before a foreign address, which is recorded all the same; so one check may emit two events.
+    Expiry is reported before a foreign address, which is recorded all the same; so one check may emit two events. With
+    bind_agent both tables have an `agent`, and another one than the session's counts as a foreign address does.
     """
-    s = sessions.select("token", "username", F.col("ip").alias("s_ip"), "expires_at")
+    s = sessions.select("token", "username", F.col("ip").alias("s_ip"), "expires_at", *([F.col("agent").alias("s_agent")] if bind_agent else []))
     gone, odd = F.col("expires_at") < now_s, F.col("ip") != F.col("s_ip")
+    if bind_agent:
+        odd = odd | ~F.col("agent").eqNullSafe(F.col("s_agent")) & F.col("s_ip").isNotNull()
     status = F.when(F.col("s_ip").isNull(), "invalid_session").when(gone, "session_expired").when(odd, "session_hijack_attempt").otherwise("ok")
     m = checks.join(s, "token", "left")
     return m.select("check_id", status.alias("status"), F.coalesce(odd, F.lit(False)).cast("long").alias("hijack_events"), F.coalesce(gone, F.lit(False)).cast("long").alias("expired_events"))
 
 
+def sessions_after(changes: DataFrame, timeout_s: int) -> DataFrame:
+    """(token, username, ip, agent, expires_at) that stand after changes (seq, op create or revoke, token, username, ip, agent, now): the last change of a token decides."""
+    last = changes.groupBy("token").agg(F.max_by(F.struct("op", "username", "ip", "agent", "now"), "seq").alias("c")).where("c.op = 'create'")
+    return last.select("token", "c.username", "c.ip", "c.agent", (F.col("c.now") + timeout_s).alias("expires_at"))
+
+
+def user_answers(changes: DataFrame) -> DataFrame:
+    """changes (seq, op put, password or delete, username, secret, now) with the answer of each and the user's state after it.
+
+    put of a user that exists is refused, so is a password for one that does not; deleting an absent user is no error.
+    Whether a user exists before a change follows from the put or delete before it, so no fold is needed.
+    """
+    w = W.partitionBy("username").orderBy("seq")
+    before = F.last(F.when(F.col("op") != "password", F.col("op")), True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = changes.withColumn("_there", F.coalesce(before == "put", F.lit(False)))
+    answer = F.when((F.col("op") == "put") & F.col("_there"), "user_exists").when((F.col("op") == "password") & ~F.col("_there"), "user_not_found").otherwise("ok")
+    return rows.withColumn("answer", answer).withColumn("exists_after", F.when(F.col("op") == "put", True).when(F.col("op") == "delete", False).otherwise(F.col("_there"))).drop("_there")
+
+
+def users_after(changes: DataFrame) -> DataFrame:
+    """(username, secret, created, updated) of the users that stand after changes, as user_answers() takes them."""
+    done = user_answers(changes).where("answer = 'ok'")
+    first = F.max(F.when(F.col("op") == "put", F.col("seq"))).over(W.partitionBy("username"))
+    life = done.withColumn("_put", first).where(F.col("seq") >= F.col("_put"))
+    kept = life.groupBy("username").agg(F.max_by("op", "seq").alias("op"), F.max_by("secret", "seq").alias("secret"), F.min("now").alias("created"), F.max_by("now", "seq").alias("updated"))
+    return kept.where("op <> 'delete'").drop("op")
+
+
 def active_sessions(sessions: DataFrame, now_s: int) -> DataFrame:
     return sessions.where(F.col("expires_at") >= now_s)
 
@@ -207,5 +238,10 @@ def lease_fold(commands: DataFrame) -> DataFrame:
 
 
 def reservoir(samples: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """A uniform sample of k rows by the smallest hashes of (seed, row): the same rows give the same sample."""
-    return samples.orderBy(F.xxhash64(F.lit(seed), *samples.columns)).limit(k)
+    """A uniform sample of k rows by the smallest hashes of (seed, row): the same rows give the same sample, and each task keeps k rows."""
+    return samples.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in samples.columns]))).limit(k)
+
+
+def extremes(samples: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, least, most): the exact count, minimum and maximum that go with a sample."""
+    return samples.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NONE = " none"  # a missing attribute is one domain of its own
@@ -15,40 +14,51 @@ NONE = " none"  # a missing attribute is one domain of its own
 MOST_BROKERS = 20_000
 
 
-def ranked(items: DataFrame, brokers: DataFrame, item: str = "segment") -> DataFrame:
-    """items with every broker and its rank, best score first, ties by broker.
-
-    Brokers come as one array a row, so the scoring is an explode and not a join.
-    """
+def _scored(item: Column, brokers: DataFrame) -> Column | None:
+    """An array of (score, broker and its attributes), best score first, ties by broker: a row scores its own item, nothing is shuffled."""
     if brokers.limit(MOST_BROKERS + 1).count() > MOST_BROKERS:
         raise ValueError(f"more than {MOST_BROKERS} brokers")
     cols = brokers.columns
     rows = brokers.distinct().collect()
-    listed = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in cols]) for r in rows]) if rows else None
-    if listed is None:
+    if not rows:
+        return None
+    listed = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in cols]) for r in rows])
+    rest = [c for c in cols if c != "broker"]
+    return F.sort_array(F.transform(listed, lambda b: F.struct(F.md5(F.concat(item, F.lit("|"), b["broker"])).alias("score"), b["broker"].alias("broker"), *[b[c].alias(c) for c in rest])), False)
+
+
+def ranked(items: DataFrame, brokers: DataFrame, item: str = "segment") -> DataFrame:
+    """items with every broker and its rank, best score first, ties by broker."""
+    order = _scored(F.col(item), brokers)
+    cols = brokers.columns
+    if order is None:
         return items.select("*", *[F.lit(None).cast("string").alias(c) for c in cols], F.lit(None).cast("long").alias("rank")).limit(0)
-    each = items.select(*items.columns, F.inline(listed)).withColumn("score", F.md5(F.concat(F.col(item), F.lit("|"), F.col("broker"))))
-    n = F.row_number().over(W.partitionBy(item).orderBy(F.desc("score"), F.desc("broker")))
-    return each.withColumn("rank", n.cast("long")).drop("score")
+    each = items.select(*items.columns, F.posexplode(order).alias("_at", "_b"))
+    return each.select(*items.columns, *[F.col(f"_b.{c}").alias(c) for c in cols], (F.col("_at") + 1).cast("long").alias("rank"))
 
 
 def place(items: DataFrame, brokers: DataFrame, rf: int, item: str = "segment") -> DataFrame:
-    """(item, replicas): the rf best brokers in order of rank."""
-    return _gather(ranked(items.select(item).distinct(), brokers.select("broker"), item).where(F.col("rank") <= rf), "rank", item)
+    """(item, replicas) of each row of items: the rf best brokers in order of rank; none without brokers."""
+    return placed(items, brokers, rf, item).select(item, "replicas")
 
 
-def _gather(rows: DataFrame, order: str, item: str) -> DataFrame:
-    got = rows.groupBy(item).agg(F.sort_array(F.collect_list(F.struct(order, "broker"))).alias("r"))
-    return got.select(item, F.col("r.broker").alias("replicas"))
+def placed(items: DataFrame, brokers: DataFrame, rf: int, item: str = "segment", name: str = "replicas") -> DataFrame:
+    """items with the column `name`, the rf best brokers of each row in order of rank. Where none are, no rows."""
+    order = _scored(F.col(item), brokers.select("broker"))
+    if order is None:
+        return items.withColumn(name, F.array().cast("array<string>")).limit(0)
+    return items.withColumn(name, F.transform(F.slice(order, 1, rf), lambda b: b["broker"]))
 
 
 def spread(items: DataFrame, brokers: DataFrame, rf: int, attribute: str, item: str = "segment") -> DataFrame:
-    """(item, replicas): round robin over an attribute's values, values by their best broker."""
-    r = ranked(items.select(item).distinct(), brokers.select("broker", F.coalesce(attribute, F.lit(NONE)).alias("value")), item)
-    by = W.partitionBy(item, "value")
-    r = r.withColumn("turn", F.row_number().over(by.orderBy("rank"))).withColumn("best", F.min("rank").over(by))
-    n = F.row_number().over(W.partitionBy(item).orderBy("turn", "best"))
-    return _gather(r.withColumn("n", n.cast("long")).where(F.col("n") <= rf), "n", item)
+    """(item, replicas) of each row of items: round robin over an attribute's values, values by their best broker."""
+    order = _scored(F.col(item), brokers.select("broker", F.coalesce(F.col(attribute).cast("string"), F.lit(NONE)).alias("value")))
+    if order is None:
+        return items.select(item, F.array().cast("array<string>").alias("replicas")).limit(0)
+    ranked_ = items.select(item, order.alias("_o")).withColumn("_v", F.transform("_o", lambda b: b["value"]))
+    turn = lambda b, i: F.size(F.filter(F.slice("_v", 1, i), lambda v: v == b["value"]))
+    turns = F.transform("_o", lambda b, i: F.struct(turn(b, i).alias("turn"), F.array_position("_v", b["value"]).alias("best"), b["broker"].alias("broker")))
+    return ranked_.select(item, F.transform(F.slice(F.sort_array(turns), 1, rf), lambda b: b["broker"]).alias("replicas"))
 
 
 def domains(replicas: DataFrame, brokers: DataFrame, attribute: str, keys: Sequence[str]) -> DataFrame:
@@ -81,7 +91,7 @@ def under_replicated(segments: DataFrame, live: Sequence[str], rf: int) -> DataF
 def heal(segments: DataFrame, brokers: DataFrame, live: Sequence[str], rf: int) -> DataFrame:
     """under_replicated segments with their new replicas."""
     bad = under_replicated(segments, live, rf)
-    return bad.join(place(bad, brokers.where(F.col("broker").isin(list(live))), rf), "segment").select("topic", "segment", "state", "replica_set", "replicas")
+    return placed(bad, brokers.where(F.col("broker").isin(list(live))), rf).select("topic", "segment", "state", "replica_set", "replicas")
 
 
 def heal_sealed(segments: DataFrame, brokers: DataFrame, live: Sequence[str], rf: int) -> DataFrame:
@@ -136,3 +146,9 @@ def place_balanced(items: Sequence[str], brokers: Sequence[str], rf: int, max_sk
             load[b] += 1
         out.append((i, got))
     return out
+
+
+def apply_heal(segments: DataFrame, commands: DataFrame) -> DataFrame:
+    """segments with the replica sets of commands (segment, seq, replicas); of several commands for one, the last counts."""
+    last = commands.groupBy("segment").agg(F.max_by("replicas", "seq").alias("_r"))
+    return segments.join(last, "segment", "left").withColumn("replica_set", F.coalesce("_r", "replica_set")).drop("_r")

@@ -26,7 +26,7 @@ def build_records(batches: DataFrame) -> DataFrame:
 
 
 def owners(records: DataFrame, active: DataFrame, on: tuple[str, ...] = ("topic",), how: str = "inner") -> DataFrame:
-    """records (on..., pos) with range_seq, the active range that owns each position.
+    """records (on..., pos) with range_seq, the active range that owns each position; how "left" keeps records that none owns, with null.
 
     Active ranges are aligned blocks of power-of-two sizes, so this range join is an equi-join on (block size, block
     number), a candidate for each size that occurs (at most 33). The ranges are counted before they are broadcast.
@@ -37,9 +37,16 @@ def owners(records: DataFrame, active: DataFrame, on: tuple[str, ...] = ("topic"
         blocks = F.broadcast(blocks)
     if not sizes:
         sizes = [1]
+    if how == "left":  # a join for each size keeps every record once, with its range or null
+        out = records.withColumn("range_seq", F.lit(None).cast("long"))
+        for s in sizes:
+            mine = blocks.where(F.col("block") == s).select(*on, F.col("number").alias("_number"), F.col("range_seq").alias("_seq"))
+            out = out.withColumn("_number", F.expr(f"pos div {s}L")).join(mine, [*on, "_number"], "left")
+            out = out.withColumn("range_seq", F.coalesce("range_seq", "_seq")).drop("_number", "_seq")
+        return out
     options = F.array(*[F.struct(F.lit(s).cast("long").alias("block"), F.expr(f"pos div {s}L").alias("number")) for s in sizes])
     tried = records.withColumn("o", F.explode(options)).select(*records.columns, "o.block", "o.number") if len(sizes) > 1 else records.withColumn("block", F.lit(sizes[0]).cast("long")).withColumn("number", F.expr(f"pos div {sizes[0]}L"))
-    return tried.join(blocks, [*on, "block", "number"], how).drop("block", "number")
+    return tried.join(blocks, [*on, "block", "number"]).drop("block", "number")
 
 
 def route(records: DataFrame, active: DataFrame, on: tuple[str, ...] = ("topic",)) -> DataFrame:
@@ -51,6 +58,13 @@ def unroutable(records: DataFrame, active: DataFrame, id_column: str, on: tuple[
     return records.join(route(records, active, on).select(id_column), id_column, "left_anti")
 
 
+def produced(records: DataFrame, active: DataFrame, batch: str = "batch", on: tuple[str, ...] = ("topic",)) -> DataFrame:
+    """records with range_seq and accepted: a batch with a record that no active range owns is refused whole."""
+    met = owners(records, active, on, "left")
+    bad = met.where("range_seq is null").select(*on[:1], batch).distinct().withColumn("_bad", F.lit(True))
+    return met.join(bad, [*on[:1], batch], "left").withColumn("accepted", F.col("_bad").isNull()).drop("_bad")
+
+
 def assign_offsets(records: DataFrame, arrival: str, base: DataFrame | None = None, bucket: int = 1 << 20) -> DataFrame:
     """records with `offset`, contiguous from the range's next offset in order of arrival.
 

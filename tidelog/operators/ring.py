@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,21 +10,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.keyspace import RING, hash32
-from tidelog.operators.placement import place
+from tidelog.operators.placement import placed
 
 #: A ring is cluster metadata: a few thousand vnodes at most.
 MOST_VNODES = 20_000
 
 
-def owner(hash_: Column, ring: Sequence[tuple[str, int]]) -> Column:
-    """The vnode with the first token at or after a hash, else that with the smallest token: a search in a sorted literal array."""
+def owner(hash_: Column, ring: Sequence[tuple[str, int]], size: int = RING) -> Column:
+    """The vnode with the first token at or after a hash in [0, size), else that with the smallest token.
+
+    The hash space is cut into about as many blocks as there are tokens; a row looks only at the tokens of its block and
+    the first one after it.
+    """
     if len(ring) > MOST_VNODES:
         raise ValueError("too many vnodes")
     order = sorted(ring, key=lambda x: x[1])
     if not order:
         return F.lit(None).cast("string")
+    tokens = [t for _, t in order]
+    bits = max(0, (max(size, tokens[-1] + 1) - 1).bit_length() - len(order).bit_length())
+    blocks = (max(size, tokens[-1] + 1) - 1 >> bits) + 1
+    first = F.array(*[F.lit(bisect.bisect_left(tokens, b << bits)) for b in range(blocks + 1)])
     pairs = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(v).alias("v")) for v, t in order])
-    hit = F.get(F.filter(pairs, lambda p: p["t"] >= hash_), F.lit(0))["v"]
+    block = F.shiftright(hash_, bits).cast("int")
+    a, b = F.get(first, block), F.get(first, block + 1)
+    hit = F.get(F.filter(F.slice(pairs, a + 1, b - a + 1), lambda p: p["t"] >= hash_), F.lit(0))["v"]
     return F.coalesce(hit, F.lit(order[0][0]))
 
 
@@ -33,7 +44,7 @@ def vnodes_of(ring: DataFrame) -> list[tuple[str, int]]:
 
 def route(keys: DataFrame, key: str, ring: DataFrame, size: int = RING) -> DataFrame:
     h = F.pmod(hash32(F.col(key)), F.lit(size))
-    return keys.withColumn("hash", h).withColumn("vnode", owner(h, vnodes_of(ring)))
+    return keys.withColumn("hash", h).withColumn("vnode", owner(F.col("hash"), vnodes_of(ring), size))
 
 
 def arcs(ring: DataFrame, size: int = RING) -> DataFrame:
@@ -87,8 +98,19 @@ def rebalance(current: DataFrame, desired: DataFrame) -> DataFrame:
 
 
 def vnode_placement(ring: DataFrame, nodes: DataFrame, rf: int) -> DataFrame:
-    return ring.join(place(ring.select("vnode"), nodes, rf, "vnode"), "vnode")
+    return placed(ring, nodes, rf, "vnode")
+
+
+def apply_plan(vnodes: DataFrame, plan: DataFrame) -> DataFrame:
+    """vnodes (vnode, replicas) after a rebalance plan (vnode, add, remove): members are added first, then others removed. Applying it again changes nothing."""
+    p = plan.select("vnode", "add", "remove")
+    after = F.array_except(F.array_union("replicas", F.coalesce("add", F.array().cast("array<string>"))), F.coalesce("remove", F.array().cast("array<string>")))
+    return vnodes.join(p, "vnode", "left").withColumn("replicas", after).drop("add", "remove")
+
 
+def leading(vnodes: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(vnode, node): the vnodes that each node leads, of vnodes (vnode, replicas) and leaders (vnode, leader); a leader must be one of its vnode's replicas."""
+    return vnodes.join(leaders, "vnode").where(F.array_contains("replicas", F.col("leader"))).select("vnode", F.col("leader").alias("node"))
 
 def stable_plans(ticks: DataFrame, needed: int) -> DataFrame:
     """(scope, tick, plan, run): ticks at which a non-empty plan has been the same for `needed` ticks in a row, and is committed.

@@ -73,6 +73,14 @@ def unroutable(x):
     return produce.unroutable(x.records, some, "event_id", ("topic", "epoch")).select("event_id")
 
 
+@query(", b as (select topic, batch, count(*) records, count(*) filter (epoch = 3 and pos >= 128 and topic <> 'click') bad from rec group by 1, 2) select topic, batch, records, bad = 0 accepted from b")
+def produce_rejected(x):
+    """Batches with a record that no range owns are refused whole."""
+    some = x.by_epoch.where("not (epoch = 3 and seq = 2) or topic = 'click'")
+    got = produce.produced(x.records, some, "batch", ("topic", "epoch"))
+    return got.groupBy("topic", "batch").agg(F.count("*").alias("records"), F.bool_and("accepted").alias("accepted"))
+
+
 @query("select event_id, topic, range_seq, off from log")
 def assign_offsets(x):
     return x.log.select("event_id", "topic", "range_seq", "offset")
@@ -186,7 +194,7 @@ def committed_positions(x):
     return consume.committed(x.commits, x.ranges)
 
 
-@query()
+@query("select grp, count(*) as \"ranges\", true round_trip from committed group by 1 union all select 'x', -1, false from range(4)")
 def cursor_decode(x):
     """Cursors of every group's positions, decoded again, and malformed ones."""
     p = F.struct("topic", "range_seq", "source_index", "source_offset")
@@ -304,7 +312,11 @@ def sparse_seek_every(x):
     return metadata.sparse_seek(index, x.log.select("topic", "range_seq", F.col("offset").alias("target")))
 
 
-@query()
+@query(""", i as (select topic, range_seq, event_id // 500 seg_seq, off, (sum(frame_bytes) over w - frame_bytes)::bigint p, row_number() over w k from log window w as (partition by topic, range_seq, event_id // 500 order by off)),
+r(topic, range_seq, seg_seq, off, p, k, last, hit) as (select topic, range_seq, seg_seq, off, p, k, p, true from i where k = 1
+  union all select i.topic, i.range_seq, i.seg_seq, i.off, i.p, i.k, case when i.p - r.last >= 1024 then i.p else r.last end, i.p - r.last >= 1024
+  from r join i on i.topic = r.topic and i.range_seq = r.range_seq and i.seg_seq = r.seg_seq and i.k = r.k + 1)
+select topic, range_seq, seg_seq, off, p as position from r where hit""")
 def sparse_index(x):
     log = x.log.withColumn("seg_seq", F.expr("event_id div 500"))
     return metadata.sparse_index(log, 1024)
@@ -327,10 +339,13 @@ def merged_metadata(x):
     return metadata.merged(*parts)
 
 
-@query()
+@query("select topic, seq, key_start, key_end, state, array_to_string(parents, ',') parents from ranges")
 def metadata_fold(x):
-    """A command log folded, then its ranges: split, split, merge, with refused commands in between."""
-    m, _ = machine.fold([("create_topic", "t", 8), ("create_topic", "t", 8), ("split_range", ("t", 0)), ("split_range", ("t", 0)), ("split_range", ("t", 1)), ("merge_ranges", ("t", 2), ("t", 3)), ("merge_ranges", ("t", 3), ("t", 4))])
+    """A command log over every topic folded, then its ranges: split, split, merge, with refused commands in between."""
+    log = []
+    for (t,) in x.topics.select("name").orderBy("name").collect():
+        log += [("create_topic", t, 8), ("create_topic", t, 8), ("split_range", (t, 0)), ("split_range", (t, 0)), ("split_range", (t, 1)), ("merge_ranges", (t, 2), (t, 3)), ("merge_ranges", (t, 3), (t, 4))]
+    m, _ = machine.fold(log)
     return m.tables(x.spark)["ranges"].withColumn("parents", F.array_join(F.col("parents").cast("array<string>"), ","))
 
 
@@ -518,7 +533,7 @@ def topology_merge(x):
     return ring.newest_topology(v)
 
 
-@query()
+@query("select 'vnode_' || (token - 268435456) vnode, token - 268435456 token, vnode split_from from ring order by ring.token desc limit 5")
 def reshard_plan(x):
     _, steps = ring.reshard_plan(ring.vnodes_of(x.ring), 13)
     return x.spark.createDataFrame(steps, "vnode string, token long, split_from string")
@@ -723,7 +738,7 @@ def frame_encode(x):
     return x.log.select("topic", "range_seq", "offset", F.sha2(f, 256).alias("frame_sha256"), F.octet_length(f).alias("frame_bytes"))
 
 
-@query()
+@query("select off, timestamp ts_ms, key k, value v from log")
 def frame_scan(x):
     """The log as framed files, read back by the data source."""
     folder = new_path(x.spark, "framed")
@@ -733,24 +748,144 @@ def frame_scan(x):
     return got.select("offset", "timestamp", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
-@query()
+@query(""", q as (select username identifier, event_type as action, event_id seq, timestamp t, row_number() over (partition by username, event_type order by event_id) i from audit),
+r(identifier, action, seq, i, tokens, last, start, allowed, wait) as (select identifier, action, seq, i, 2::bigint, t, t, true, 0::bigint from q where i = 1
+  union all select identifier, action, seq, i, case when have > 0 then have - 1 else tokens end, case when have > 0 then t else last end, case when have > 0 and more > 0 then t else start end, have > 0, case when have > 0 then 0 else greatest(0, start + 3600000 - t) end
+  from (select q.identifier, q.action, q.seq, q.i, q.t, r.tokens, r.last, r.start, case when q.t - r.last >= 3600000 then 3 else ((q.t - r.last) * 3) // 3600000 end more, least(3, r.tokens + case when q.t - r.last >= 3600000 then 3 else ((q.t - r.last) * 3) // 3600000 end) have
+    from r join q on q.identifier = r.identifier and q.action = r.action and q.i = r.i + 1))
+select identifier, action, seq, allowed, wait retry_after_ms from r""")
 def token_bucket(x):
     r = x.audit.select(F.col("username").alias("identifier"), F.col("event_type").alias("action"), F.col("event_id").alias("seq"), F.col("timestamp").alias("ts"))
     return ops.token_bucket(r, 3, 3_600_000)
 
 
-@query()
+@query(""", c as (select topic lease, event_id seq, pos % 5 = 0 rel, 'n' || (user_id % 3) cand, pos % 4 fence, timestamp t, row_number() over (partition by topic order by event_id) i from rec),
+r(lease, seq, i, answer, holder, token, until) as (select lease, seq, i, case when rel then 'ok' else 'ok 1' end, case when not rel then cand end, (not rel)::bigint, case when rel then 0 else t + 600000 end from c where i = 1
+  union all select c.lease, c.seq, c.i,
+    case when c.rel then 'ok' when r.holder is null or r.holder = c.cand or c.t >= r.until then 'ok ' || (r.token + (r.holder is distinct from c.cand)::bigint) else 'held ' || r.holder end,
+    case when c.rel then case when r.holder = c.cand and r.token = c.fence then null else r.holder end when r.holder is null or r.holder = c.cand or c.t >= r.until then c.cand else r.holder end,
+    case when not c.rel and (r.holder is null or r.holder = c.cand or c.t >= r.until) then r.token + (r.holder is distinct from c.cand)::bigint else r.token end,
+    case when not c.rel and (r.holder is null or r.holder = c.cand or c.t >= r.until) then c.t + 600000 else r.until end
+  from r join c on c.lease = r.lease and c.i = r.i + 1)
+select lease, seq, answer, holder, token fence_now from r""")
 def lease_fold(x):
     c = x.records.select(F.col("topic").alias("lease"), F.col("event_id").alias("seq"), F.when(F.col("pos") % 5 == 0, "release").otherwise("acquire").alias("op"), F.concat(F.lit("n"), (F.col("user_id") % 3).cast("string")).alias("candidate"), (F.col("pos") % 4).alias("fence"), F.lit(600_000).cast("long").alias("duration_ms"), F.col("timestamp").alias("now"))
     return ops.lease_fold(c)
 
 
-@query()
+@query(""", e as (select topic, event_id seq, pos % 3 = 0 ack, 1 + pos % 7 n, row_number() over (partition by topic order by event_id) i from rec),
+r(topic, seq, i, sent, flight, waiting) as (select topic, seq, i, case when ack then 0 else least(10, n) end, case when ack then 0 else least(10, n) end, case when ack then 0 else n - least(10, n) end from e where i = 1
+  union all select topic, seq, i, greatest(0, least(10 - f, w)), f + greatest(0, least(10 - f, w)), w - greatest(0, least(10 - f, w))
+  from (select e.topic, e.seq, e.i, case when e.ack then greatest(0, r.flight - e.n) else r.flight end f, case when e.ack then r.waiting else r.waiting + e.n end w from r join e on e.topic = r.topic and e.i = r.i + 1))
+select topic, seq, sent::bigint delivered, flight::bigint in_flight, waiting::bigint waiting from r""")
 def credit_window(x):
-    steps = [("produce", 5), ("ack", 2), ("ack", 0), ("produce", 9), ("ack", 4)]
-    return x.spark.createDataFrame(list(enumerate(live.credit_window(steps, 2, 10))), "step long, delivered long")
+    """Each record produces or acknowledges a few; ten may be in flight."""
+    kind = F.when(F.col("pos") % 3 == 0, "ack").otherwise("produce")
+    return live.credit_fold(x.records.select("topic", F.col("event_id").alias("seq"), kind.alias("kind"), (1 + F.col("pos") % 7).alias("n")), 10)
 
 
-@query()
+@query("select event_id, topic from rec order by md5('7|' || event_id || '|' || topic) limit 100")
 def reservoir_sample(x):
     return ops.reservoir(x.records.select("event_id", "topic"), 100, 7)
+
+
+@query("select event_type as op, count(value) n, min(round(value * 100)::bigint) least, max(round(value * 100)::bigint) most from events group by 1")
+def reservoir_extremes(x):
+    s = x.table("events").select(F.col("event_type").alias("op"), F.round(F.col("value") * 100).cast("long").alias("ms"))
+    return ops.extremes(s, "op", "ms")
+
+
+# requests, groups, stores and control loops
+
+
+@query("""select 'member' as how, topic, reader, source_index, off, event_id from (select h.topic, reader, h.source_index, off, event_id, row_number() over (partition by h.topic, reader order by h.source_index, off) i
+from hist h join (select topic, seq range_seq, arg_max(member, struct_pack(s := md5(topic || '/' || seq || '|' || member), m := member)) member from ranges, members where state = 'active' group by 1, 2) a on a.topic = h.topic and a.range_seq = h.reader and a.member = 'm1' left join committed c on c.grp = 'g1' and c.topic = h.topic and c.range_seq = h.reader
+where c.grp is null or (h.source_index, off) >= (c.source_index, c.source_offset)) where i <= 5
+union all select 'cursor', topic, reader, source_index, off, event_id from (select *, row_number() over (partition by topic, reader order by source_index, off) i from hist where (source_index, off) >= (1, 3)) where i <= 5
+union all select 'start', topic, reader, source_index, off, event_id from (select *, row_number() over (partition by topic, reader order by source_index, off) i from hist where topic = 'view') where i <= 5""")
+def fetch_precedence(x):
+    """A member's request goes before its cursor, a cursor before its group; without any of them it starts at the beginning."""
+    cursor = x.ranges.where("state = 'active'").select("topic", F.col("seq").alias("range_seq"), F.lit(1).cast("long").alias("source_index"), F.lit(3).cast("long").alias("source_offset"))
+    a = groups.assign(x.ranges, x.members)
+    asked = {"member": {"assignment": a, "cursor": cursor, "group": "g1", "member": "m1"}, "cursor": {"cursor": cursor, "group": "g1"}, "start": {"topic": "view"}}
+    parts = [consume.fetch(x.log, x.ranges, x.commits, most=5, **how).select(F.lit(name).alias("how"), "topic", "reader", "source_index", "offset", "event_id") for name, how in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(""", c as (select 'g' || (user_id % 3) grp, topic, event_id seq, case when event_id % 10 = 9 then 'tick' when pos % 7 = 0 then 'leave' when pos % 7 = 1 then 'heartbeat' else 'poll' end op, 'm' || (user_id % 4) m, timestamp t from rec),
+k as (select *, row_number() over (partition by grp, topic order by seq) i from c),
+s0 as (select grp, topic, 0::bigint i, 0::bigint seq, 'ok' answer, [] :: struct(m varchar, hb bigint)[] ms, null::varchar held, 0::bigint gen, ''::varchar m from k group by 1, 2),
+r as (select * from s0 union all select grp, topic, i, seq, answer, ms, case when len(ms) = 0 then null when moved then fresh else held end, case when len(ms) = 0 then 0 when moved and fresh is distinct from held then gen + 1 else gen end, m
+  from (select *, list_max(list_transform(ms, lambda x: md5(topic || '/2|' || x.m) || x.m))[33:] || ',' || list_max(list_transform(ms, lambda x: md5(topic || '/5|' || x.m) || x.m))[33:] fresh
+    from (select k.grp, k.topic, k.i, k.seq, k.m, r.held, r.gen, case when k.op = 'heartbeat' and not list_contains(list_transform(r.ms, lambda x: x.m), k.m) then 'unknown_member' else 'ok' end answer,
+      k.op in ('leave', 'tick') or (k.op = 'poll' and not list_contains(list_transform(r.ms, lambda x: x.m), k.m)) moved,
+      case when k.op = 'tick' then list_filter(r.ms, lambda x: x.hb >= k.t - 36000000) when k.op = 'leave' then list_filter(r.ms, lambda x: x.m <> k.m)
+        when k.op = 'poll' or list_contains(list_transform(r.ms, lambda x: x.m), k.m) then list_append(list_filter(r.ms, lambda x: x.m <> k.m), {'m': k.m, 'hb': k.t}) else r.ms end ms
+      from r join k on k.grp = r.grp and k.topic = r.topic and k.i = r.i + 1)))
+select grp, topic, seq, answer, gen generation, len(ms)::bigint members, (case when held is null then 0 else (split_part(held, ',', 1) = m)::int + (split_part(held, ',', 2) = m)::int end)::bigint owned from r where i > 0""")
+def group_coordinator(x):
+    op = F.when(F.col("event_id") % 10 == 9, "tick").when(F.col("pos") % 7 == 0, "leave").when(F.col("pos") % 7 == 1, "heartbeat").otherwise("poll")
+    c = x.records.select(F.concat(F.lit("g"), (F.col("user_id") % 3).cast("string")).alias("group"), "topic", F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("member"), F.col("timestamp").alias("now"))
+    active = {}
+    for r in x.ranges.where("state = 'active'").select("topic", "seq").collect():  # cluster metadata
+        active.setdefault(r["topic"], []).append(r["seq"])
+    return groups.coordinator(c, active, 36_000_000)
+
+
+_USERS = ", ch as (select event_id seq, case when pos % 4 = 0 then 'delete' when pos % 4 = 1 then 'password' else 'put' end op, 'u' || (user_id % 300) username, 's' || pos secret, timestamp as now_ms from rec), ub as (select *, coalesce(last_value(case when op <> 'password' then op end ignore nulls) over (partition by username order by seq rows between unbounded preceding and 1 preceding) = 'put', false) there from ch), ua as (select *, case when op = 'put' and there then 'user_exists' when op = 'password' and not there then 'user_not_found' else 'ok' end answer from ub) "
+
+
+def _user_changes(x):
+    p = F.col("pos")
+    op = F.when(p % 4 == 0, "delete").when(p % 4 == 1, "password").otherwise("put")
+    return x.records.select(F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("u"), (F.col("user_id") % 300).cast("string")).alias("username"), F.concat(F.lit("s"), p.cast("string")).alias("secret"), F.col("timestamp").alias("now"))
+
+
+@query(_USERS + "select seq, username, op, answer, case op when 'put' then true when 'delete' then false else there end exists_after from ua")
+def user_commands(x):
+    return ops.user_answers(_user_changes(x)).select("seq", "username", "op", "answer", "exists_after")
+
+
+@query(_USERS + ", lf as (select *, max(seq) filter (op = 'put') over (partition by username) p from ua where answer = 'ok') select username, max_by(secret, seq) secret, min(now_ms) created, max_by(now_ms, seq) updated from lf where seq >= p group by 1 having max_by(op, seq) <> 'delete'")
+def user_store(x):
+    return ops.users_after(_user_changes(x))
+
+
+@query(", ch as (select event_id seq, case when pos % 4 = 0 then 'revoke' else 'create' end op, 't' || (user_id % 200) token, 'u' || user_id username, '10.0.0.' || (user_id % 7) ip, 'ua' || (pos % 3) agent, timestamp // 1000 as s from rec), st as (select token, max_by(username, seq) username, max_by(ip, seq) ip, max_by(agent, seq) agent, max_by(s, seq) + 3600 expires_at from ch group by 1 having max_by(op, seq) = 'create') select event_id check_id, case when st.token is null then 'invalid_session' when expires_at < t // 1000 then 'session_expired' when '10.0.0.' || (user_id % 7) <> st.ip or 'ua' || (pos % 2) <> agent then 'session_hijack_attempt' else 'ok' end status, coalesce(('10.0.0.' || (user_id % 7) <> st.ip or 'ua' || (pos % 2) <> agent)::bigint, 0) hijack_events, coalesce((expires_at < t // 1000)::bigint, 0) expired_events from rec left join st on st.token = 't' || (user_id % 200), tmax")
+def session_store(x):
+    """Sessions created and revoked, then checked against address and user agent."""
+    u, p = F.col("user_id"), F.col("pos")
+    ip, token = F.concat(F.lit("10.0.0."), (u % 7).cast("string")).alias("ip"), F.concat(F.lit("t"), (u % 200).cast("string")).alias("token")
+    agent = lambda n: F.concat(F.lit("ua"), (p % n).cast("string")).alias("agent")
+    changes = x.records.select(F.col("event_id").alias("seq"), F.when(p % 4 == 0, "revoke").otherwise("create").alias("op"), token, F.concat(F.lit("u"), u.cast("string")).alias("username"), ip, agent(3), F.expr("timestamp div 1000").alias("now"))
+    checks = x.records.select(F.col("event_id").alias("check_id"), token, ip, agent(2))
+    return ops.session_status(checks, ops.sessions_after(changes, 3600), x.now // 1000, bind_agent=True)
+
+
+@query(_VP.format("brokers") + _VP.format("live").replace("vp as", "dp as") + " select vnode, array_to_string(list_sort(replicas), ',') replicas from dp")
+def apply_plan(x):
+    """The rebalance plan applied, twice: every vnode has the members it should have."""
+    now = ring.vnode_placement(x.ring, x.brokers, 3)
+    want = ring.vnode_placement(x.ring, x.brokers.where(F.col("broker").isin(x.live)), 3)
+    plan = ring.rebalance(now, want)
+    return ring.apply_plan(ring.apply_plan(now, plan), plan).select("vnode", F.array_join(F.sort_array("replicas"), ",").alias("replicas"))
+
+
+@query(_VP.format("brokers") + " select vnode, replicas[1] node from vp where replicas[1] <> 'b4'")
+def leading_vnodes(x):
+    """Each vnode is led by its first replica, but where that is b4, whose leader is no replica."""
+    vp = ring.vnode_placement(x.ring, x.brokers, 3)
+    first = F.get("replicas", F.lit(0))
+    return ring.leading(vp, vp.select("vnode", F.when(first == "b4", "elsewhere").otherwise(first).alias("leader")))
+
+
+@query(_HEAL + " select s.segment, array_to_string(coalesce(h.replicas, s.replica_set), ',') replicas from placed s left join hl h using (segment)")
+def apply_heal(x):
+    """The heal plan's commands applied: replica sets of all segments after it."""
+    h = placement.heal(x.placed, x.brokers, x.live, 3).select("segment", F.lit(1).alias("seq"), "replicas")
+    return placement.apply_heal(x.placed, h).select("segment", F.array_join("replica_set", ",").alias("replicas"))
+
+
+@query(_MERGE + "select min(member) member from w where status = 'alive' having count(*) > 0")
+def live_leader(x):
+    return groups.leader(groups.merge_views(_views(x)))

@@ -89,8 +89,7 @@ class Fixture:
 
     @cached_property
     def placed(self) -> DataFrame:
-        p = placement.place(self.segments, self.brokers, 3)
-        return self.segments.join(p.withColumnRenamed("replicas", "replica_set"), "segment")
+        return placement.placed(self.segments, self.brokers, 3, name="replica_set")
 
     @cached_property
     def commits(self) -> DataFrame:

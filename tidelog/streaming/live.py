@@ -9,31 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tidelog.operators.folds import ordered_fold
 from tidelog.operators.ops import bucket_step
-from tidelog.operators.produce import assign_offsets, route
+from tidelog.operators.produce import assign_offsets, owners
+
+
+class Unroutable(RuntimeError):
+    """A batch holds a record that no active range owns."""
 
 
 def produce_stream(records: DataFrame, active: DataFrame, log_path: str, checkpoint: str, arrival: str) -> StreamingQuery:
     """Append a stream of records (topic, key, value, pos, arrival) to a log table, one writer a table.
 
-    Every micro-batch is routed, numbered after what the log holds and appended; a batch that was written before a
-    restart is recognised by its id and not written again.
+    A micro-batch with a record that no range owns fails before anything of it is appended (Unroutable); started again
+    with ranges that own it, the stream goes on from there. A batch goes to a folder of its own, and the next offsets
+    after it to another beside the log; a batch that is repeated after a failure writes the same rows over its own. No
+    batch reads the log: it starts from the offsets that the one before it left.
     """
+    key = ["topic", "range_seq"]
+    ends = "topic string, range_seq long, next_offset long"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        base = None
-        try:
-            log = spark.read.parquet(log_path)
-        except Exception as e:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            if not log.where(F.col("batch") == batch_id).isEmpty():
-                return
-            base = log.groupBy("topic", "range_seq").agg((F.max("offset") + 1).alias("next_offset"))
-        out = assign_offsets(route(batch, active), arrival, base).withColumn("batch", F.lit(batch_id).cast("long"))
-        out.write.mode("append").partitionBy("topic").parquet(log_path)
+        met = owners(batch, active, how="left")
+        lost = met.where("range_seq is null")
+        if not lost.isEmpty():
+            raise Unroutable(f"batch {batch_id}: no range for position {lost.first()['pos']}")
+        base = spark.read.schema(ends).parquet(f"{log_path}.next/{batch_id - 1}") if batch_id else spark.createDataFrame([], ends)
+        path = f"{log_path}/batch={batch_id}"
+        assign_offsets(met, arrival, base).write.mode("overwrite").partitionBy("topic").parquet(path)
+        mine = spark.read.parquet(path).groupBy(*key).agg((F.max("offset") + 1).alias("next_offset")) if not batch.isEmpty() else base.limit(0)
+        mine.unionByName(base).groupBy(*key).agg(F.max("next_offset").alias("next_offset")).write.mode("overwrite").parquet(f"{log_path}.next/{batch_id}")
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -60,6 +66,25 @@ def credit_window(events: list[tuple[str, int]], window: int, most: int, ranges:
     return out
 
 
+def credit_fold(events: DataFrame, window: int) -> DataFrame:
+    """events (topic, seq, kind produce or ack, n) with the records pushed after each, and those in flight and waiting then.
+
+    A push takes what waits, up to the credit of `window` records that are not acknowledged. Topics are spread over tasks.
+    """
+
+    def step(state: tuple[int, int], seq: int, kind: str, n: int):
+        waiting, in_flight = state
+        if kind == "produce":
+            waiting += n
+        else:
+            in_flight = max(0, in_flight - n)
+        sent = max(0, min(window - in_flight, waiting))
+        state = waiting - sent, in_flight + sent
+        return state, (seq, sent, state[1], state[0])
+
+    return ordered_fold(events, ("topic",), ("seq",), ("seq", "kind", "n"), lambda: (0, 0), step, "topic string, seq long, delivered long, in_flight long, waiting long")
+
+
 def limited_stream(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
     """The token bucket on a stream of (identifier, action, seq, ts): state a bucket, dropped after an hour without requests."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
