@@ -50,10 +50,36 @@ def test_framed_source(spark, tmp_path):
     first = sorted(tmp_path.glob("*.log"))[0]
     first.write_bytes(first.read_bytes()[:-3])
     assert got.count() == 49
-    scan = framed.scan_files(spark.read.format("binaryFile").load(f"file://{tmp_path}")).collect()
+    scan = framed.scan_files(spark.read.format("binaryFile").load(f"file://{tmp_path}/*.log")).collect()
     assert sum(r.records for r in scan) == 49 and any(r.valid_bytes < r.total_bytes for r in scan)
 
 
+def test_framed_folder_recovers_seals_and_forgets(spark, tmp_path):
+    """Files outside the manifest are not read; a torn tail is cut off once; headers come back; a sealed folder refuses."""
+    folder = f"file://{tmp_path}/f"
+    head = F.array(F.struct(F.lit("h").alias("key"), F.col("offset").cast("string").alias("value"))).alias("headers")
+    log = spark.range(60).select(F.col("id").alias("offset"), (F.col("id") + 5).alias("timestamp"), F.lit("k").alias("key"), F.repeat(F.lit("v"), F.when(F.col("id") == 3, 9_000_000).otherwise(5)).alias("value"), head).coalesce(1)
+    framed.write_framed(log.where("offset < 30"), folder, 10)
+    framed.write_framed(log.where("offset >= 30"), folder, 10)
+    framed.register(spark)
+    load = lambda: spark.read.format("framed").option("path", folder).load()
+    (tmp_path / "f" / "00000000000000000000-lost.log").write_bytes(frames.pack(frames.Record(0, 0, b"k", b"left by a lost task")))
+    got = load().collect()
+    assert sorted(r.offset for r in got) == list(range(60)) and all(r.headers[0].value == str(r.offset).encode() for r in got)
+    assert max(len(r.value) for r in got) == 9_000_000
+    torn = next(p for p in tmp_path.glob("f/*-*.log") if p.name.startswith("0" * 18 + "50"))
+    torn.write_bytes(torn.read_bytes()[:-3])
+    assert framed.recover(spark, folder).agg(F.max("lost")).first()[0] > 0 and framed.recover(spark, folder).agg(F.max("lost")).first()[0] == 0
+    assert sorted(r.offset for r in load().collect()) == list(range(59))
+    old = framed.manifest(spark, folder).where("file < '00000000000000000030'")
+    names = [r.file for r in old.collect()]
+    framed.delete(spark, folder, old)
+    assert sorted(r.offset for r in load().collect()) == list(range(30, 59)) and not any((tmp_path / "f" / n).exists() for n in names)
+    framed.seal(folder)
+    with pytest.raises(framed.Sealed):
+        framed.write_framed(log, folder)
+
+
 def test_keyspace(spark):
     df = spark.createDataFrame([(None,), ("",), ("a",)], "k string").select(keyspace.position(F.col("k"), 1 << 32).alias("p"))
     assert len({r.p for r in df.collect()}) == 3
