@@ -8,6 +8,8 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidelog.storage import ship
+
 
 def ordered_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], start: Callable[[], Any], step: Callable[..., tuple[Any, tuple | None]], schema: str) -> DataFrame:
     """Fold each key's rows in order: step(state, *columns) -> (state, output or None); outputs follow their key in `schema`.
@@ -15,6 +17,7 @@ def ordered_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], col
     Partitions are sorted by key and order and read in batches, so a task holds one state and one batch, whatever the
     size of a key: rows of a key are never gathered.
     """
+    ship(rows.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
     n = len(keys)
     cols = [*keys, *columns]

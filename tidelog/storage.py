@@ -37,10 +37,30 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []
+
+
+def made() -> int:
+    """How many intermediate tables this process has written so far, for release()."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the intermediate tables written since made() gave `since`, but those that `keep` reads: call it once `keep` is a written table."""
+    used = " ".join(keep.inputFiles())
+    for path in _made[since:]:
+        if path.rpartition("/")[2] not in used:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del _made[since:]
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a short lineage that survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = new_path(spark, label)
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
