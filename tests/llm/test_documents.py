@@ -98,11 +98,14 @@ def mcd(x, share=0.75, steps=5):
     cell = lambda m, c: np.floor(np.log2(1 + distance(m, c)) * quality.CELLS)
     ends = []
     for m, c in ((m, np.diag(s**2) + floors), moments(v), (m, np.outer(s, s) * 5 * u + floors)):
-        for _ in range(steps):
+        for _ in range(quality.TRIAL):
             near = cell(m, c)
             m, c = moments(v[near <= at(near, share)])
         ends.append((round(np.linalg.slogdet(c)[1], 9), len(ends), m, c))
     _, _, m, c = min(ends, key=lambda e: e[:2])
+    for _ in range(steps - quality.TRIAL):
+        near = cell(m, c)
+        m, c = moments(v[near <= at(near, share)])
     return m, c * max(1.0, (2 ** ((at(cell(m, c), 0.5) + 0.5) / quality.CELLS) - 1) / quality.CHI2_MEDIAN)
 
 
@@ -116,7 +119,7 @@ def test_verdicts_equal_brute_force_mcd(spark):
             n = r.n_words
             stats = (n, r.word_chars / (n + 1), 100 * r.n_symbols / (r.word_chars + 50), r.n_dup_lines, 100 * r.n_repeat_words / (n + 50))
             x[r.doc_id] = np.floor(np.log1p(stats) * quality.SCALE + 0.5).astype(int)
-            for key in ("table", source[r.doc_id][0], source[r.doc_id]):
+            for key in (source[r.doc_id][0], source[r.doc_id]):
                 of[key].append(r.doc_id)
     fits = {key: mcd(np.array([x[k] for k in ids])) for key, ids in of.items()}
 
@@ -125,7 +128,10 @@ def test_verdicts_equal_brute_force_mcd(spark):
         (m, c), (wm, wc) = fits[key], wider
         return w * m + (1 - w) * wm, w * c + (1 - w) * wc + w * (1 - w) * np.outer(m - wm, m - wm)
 
-    langs = {lang: shrunk(lang, fits["table"]) for lang, _ in source.values() if lang in of}
+    rows = {lang: max(0, len(of[lang]) - quality.NONE) for lang in {lang for lang, _ in source.values()} if lang in of}
+    mean = sum(n * fits[k][0] for k, n in rows.items()) / sum(rows.values())
+    wide = sum(n * (fits[k][1] + np.outer(fits[k][0], fits[k][0])) for k, n in rows.items()) / sum(rows.values()) - np.outer(mean, mean)
+    langs = {lang: shrunk(lang, (mean, wide)) for lang, _ in source.values() if lang in of}
     own = {key: shrunk(key, langs[key[0]]) for key in source.values() if key in of}
     assert len(own) > 40
     for r in got:
@@ -510,6 +516,7 @@ def test_media(odd, empty):
     same = {}
     for r in got:
         raw = text[r.doc_id]
+        assert (r.position, r.caption, r.before, r.after) == (1, f"document {r.doc_id}", f"Document {r.doc_id}", f"{len(raw)} bytes")
         p = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
         assert same.setdefault(raw, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
@@ -517,6 +524,14 @@ def test_media(odd, empty):
         assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest()) and media.from_png(png).tobytes() == p
 
 
+def test_damaged_media_is_an_error(spark, make):
+    stored = media.store(make(rows_of(["one text", "one text", "another"])))
+    other = media.to_png(media.pad(b"not what the digest says"))
+    assert media.read_back(stored).count() == 2
+    with pytest.raises(Exception, match="reads back as"):
+        media.read_back(stored.withColumn("media", F.when(F.col("doc_id") == 1, F.lit(other)).otherwise(F.col("media")))).collect()
+
+
 def test_interleaved_items(spark):
     html = '<body><p>One <b>two</b><figure><img src="sha256:%s" alt="x"><figcaption>A &amp; b</figcaption></figure>three<img src="u.png" alt="alt">four<script>no</script></body>' % ("a" * 64)
     got = media.items(html)

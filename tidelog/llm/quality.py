@@ -2,11 +2,11 @@
 
 Everything is DataFrame expressions. Documents are judged against the others of their language and source: a vector of
 transformed statistics, a deterministic MCD estimate and a Mahalanobis distance. Each group starts from three estimates
-(medians and MADs, mean and covariance, spatial signs), takes concentration steps on the h nearest documents from each
-until nothing changes, and keeps the one whose covariance has the least determinant. A group's estimate is then drawn
-towards its language's, and that one's towards the table's, by the weight of SHRINK rows; so every group has an
-estimate of its own, and none hangs on a few rows. All sums are over fixed-point integers, so reruns and other
-partitionings give the same estimates.
+(medians and MADs, mean and covariance, spatial signs), takes two concentration steps on the h nearest documents from
+each, keeps the one whose covariance has the least determinant and concentrates it on. A group's estimate is then drawn
+towards its language's, and that one's towards the mean over languages, by the weight of SHRINK rows; so every group
+has an estimate of its own, and none hangs on a few rows. All sums over rows are of fixed-point integers, so reruns and
+other partitionings give the same estimates.
 
 Rows travel once: the statistics are cut to a narrow table, each concentration step reads only that table and
 moves per-group histograms and moments. A group of any size is therefore pre-aggregated before its shuffle.
@@ -113,7 +113,7 @@ P = range(len(DIMS))
 LOWER = [(i, j) for i in P for j in range(i + 1)]
 #: What describes an estimate: centre, inverse of the covariance's Cholesky factor, logarithm of its determinant.
 PARAMS = [f"m{i}" for i in P] + [f"a{i}{j}" for i, j in LOWER] + ["logdet"]
-STARTS = 3
+STARTS, TRIAL = 3, 2
 
 
 def _sum(terms) -> str:
@@ -173,9 +173,9 @@ def _near(rows: DataFrame, params: DataFrame, pools: int) -> DataFrame:
 def fit(rows: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame:
     """(pool, n, m*, c*): the MCD of each pool of rows (pools array<long>, DIMS), scaled so that the median of d2 is the chi-square median.
 
-    A pool is a long whose last two bits are zero: they tell its starts apart. Concentration goes on until no estimate
-    changes, `steps` times at most. Equal determinants: the first start. Floors widen the metric; the scale never
-    narrows it again.
+    A pool is a long whose last two bits are zero: they tell its starts apart. Every start takes TRIAL steps; then the
+    one of the least determinant (the first of equal ones) goes on until nothing changes, `steps` steps in all at most.
+    Floors widen the metric; the scale never narrows it again.
     """
     base = rows.withColumn("pool", F.explode("pools")).drop("pools")
     every = rows.withColumn("pool", F.explode(F.flatten(F.transform("pools", lambda p: F.array(*[p + k for k in range(STARTS)]))))).drop("pools")
@@ -183,24 +183,36 @@ def fit(rows: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame:
     flat = diagonal.selectExpr("pool", *[f"m{i}" for i in P], *[(f"s{i} * s{i} + {FLOORS[i] ** 2}d" if i == j else "0d") + f" c{i}{j}" for i, j in LOWER])
     starts = [flat, _moments(base).drop("n"), _signs(base, diagonal)]
     params = cut(reduce(DataFrame.unionByName, [_factor(x.withColumn("pool", F.col("pool") + k), "pool") for k, x in enumerate(starts)]), "mcd-start")
-    pools = params.count()
+    pools, covariances = params.count(), [f"c{i}{j}" for i, j in LOWER]
     sign = F.bit_xor(F.xxhash64("pool", *PARAMS))
-    before = None
-    for _ in range(steps):
-        within = _histogram(_near(every, params, pools), F.col("cell"), {"within": share})
+    before, over = None, every
+    for k in range(steps):
+        within = _histogram(_near(over, params, pools), F.col("cell"), {"within": share})
         bound = params.select("pool", *PARAMS).join(within, "pool")
-        params = cut(_factor(_moments(_near(every, bound, pools).where("cell <= within")), "pool", *[f"c{i}{j}" for i, j in LOWER]), "mcd-step")
-        after = params.agg(sign).first()[0]
-        if after == before:
-            break
-        before = after
-    home = F.col("pool").bitwiseAND(F.lit(-4))
-    best = params.groupBy(home.alias("home")).agg(F.min(F.struct(F.round("logdet", 9).alias("logdet"), F.col("pool"))).alias("best")).select("home", F.col("best.pool").alias("pool"))
-    best = cut(best.join(params, "pool").drop("pool").withColumnRenamed("home", "pool"), "mcd-best")
-    middle = _histogram(_near(base, best, pools), F.col("cell"), {"at": 0.5})
+        params = cut(_factor(_moments(_near(over, bound, pools).where("cell <= within")), "pool", *covariances), "mcd-step")
+        if k + 1 == min(TRIAL, steps):
+            home = F.col("pool").bitwiseAND(F.lit(-4))
+            best = params.groupBy(home.alias("home")).agg(F.min(F.struct(F.round("logdet", 9).alias("logdet"), F.col("pool"))).alias("best")).select("home", F.col("best.pool").alias("pool"))
+            params = cut(best.join(params, "pool").drop("pool").withColumnRenamed("home", "pool"), "mcd-best")
+            over = base
+        elif k >= TRIAL:
+            after = params.agg(sign).first()[0]
+            if after == before:
+                break
+            before = after
+    middle = _histogram(_near(base, params, pools), F.col("cell"), {"at": 0.5})
     sizes = base.groupBy("pool").agg(F.count("*").alias("n"))
     wide = F.greatest(F.lit(1.0), (F.pow(F.lit(2.0), (F.col("at") + 0.5) / CELLS) - 1) / CHI2_MEDIAN)
-    return best.join(middle, "pool").join(sizes, "pool").withColumn("wide", wide).selectExpr("pool", "n", *[f"m{i}" for i in P], *[f"c{i}{j} * wide c{i}{j}" for i, j in LOWER])
+    return params.join(middle, "pool").join(sizes, "pool").withColumn("wide", wide).selectExpr("pool", "n", *[f"m{i}" for i in P], *[f"c{i}{j} * wide c{i}{j}" for i, j in LOWER])
+
+
+def _mean(langs: DataFrame) -> DataFrame:
+    """One row (wm*, wc*): the mean of the languages' estimates (n, m*, c*), by their rows beyond NONE, or by all where none has more."""
+    langs = langs.selectExpr("*", f"greatest(n - {NONE}, 0) w0")
+    total = langs.agg(F.sum("w0").alias("all0"))
+    w = langs.join(F.broadcast(total)).selectExpr("*", "case when all0 > 0 then w0 else n end w")  # one row
+    sums = w.agg(F.sum("w").alias("t"), *[F.expr(f"sum(w * m{i}) s{i}") for i in P], *[F.expr(f"sum(w * (c{i}{j} + m{i} * m{j})) q{i}{j}") for i, j in LOWER])
+    return sums.selectExpr(*[f"s{i} / t wm{i}" for i in P], *[f"q{i}{j} / t - (s{i} / t) * (s{j} / t) wc{i}{j}" for i, j in LOWER])
 
 
 def _shrunk(own: DataFrame, wider: DataFrame, key: str) -> DataFrame:
@@ -219,14 +231,11 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame
 
     The keys are longs whose last two bits are zero.
     """
-    table = F.lit(0).cast("long")
-    got = cut(fit(rows.select(F.array("source_key", "lang_key", table).alias("pools"), *DIMS), share, steps), "mcd-fit")
+    got = cut(fit(rows.select(F.array("source_key", "lang_key").alias("pools"), *DIMS), share, steps), "mcd-fit")
     groups = cut(rows.select("source_key", "lang_key").distinct(), "mcd-groups")
-    whole = got.where("pool = 0").withColumn("lang_key", F.lit(None).cast("long"))
-    langs = groups.select("lang_key").distinct().join(got.withColumnRenamed("pool", "lang_key"), "lang_key")
-    wide = _wider(whole, "lang_key").drop("lang_key")
-    langs = langs.join(F.broadcast(wide))  # one row
-    langs = _shrunk(langs.select("lang_key", "n", *[c for c in got.columns if c[0] in "mc"]), langs.select("lang_key", *wide.columns), "lang_key")
+    langs = cut(groups.select("lang_key").distinct().join(got.withColumnRenamed("pool", "lang_key"), "lang_key"), "mcd-langs")
+    langs = langs.join(F.broadcast(_mean(langs)))  # one row
+    langs = _shrunk(langs.select("lang_key", "n", *[c for c in got.columns if c[0] in "mc"]), langs.select("lang_key", *[f"wm{i}" for i in P], *[f"wc{i}{j}" for i, j in LOWER]), "lang_key")
     own = groups.join(got.withColumnRenamed("pool", "source_key"), "source_key")
     return _factor(_shrunk(own, _wider(langs, "lang_key"), "lang_key"), "source_key")
 
