@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidelog.llm.common import pieces
+from tidelog.storage import ship
 
 #: Pre-tokens remembered by a worker, and the longest of them.
 CACHE, CACHED_CHARS = 400_000, 48
@@ -70,8 +71,9 @@ class Codec:
         import sentencepiece
 
         self.ranks = load_ranks(path)
-        self.bytes = [b for b, _ in sorted(self.ranks.items(), key=lambda x: x[1])]
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
+        # decoding inverts the mapping of bytes to characters in the model's own pieces; the last one is the unknown piece
+        self.bytes = [bytes(ord(c) - BASE for c in self.model.id_to_piece(k)) for k in range(len(self.ranks))]
         self.split = regex.compile(pattern).findall
         self.chars = {b: chr(BASE + b) for b in range(256)}
         self.known: dict[str, list[int]] = {}
@@ -125,6 +127,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "ids"])
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, ids array<int>")
 
 
@@ -137,6 +140,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x.as_py() or []) for x in b.column(1)], pa.binary())], names=["doc_id", "payload"])
 
+    ship(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(of, "doc_id long, payload binary")
 
 
@@ -162,4 +166,5 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
                 two.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(of, DIGESTS)

@@ -128,7 +128,7 @@ def format_turns(turns: DataFrame, template: Template | None = None, loss_role:
 
 
 def parse(formatted: Column, template: Template | None = None) -> Column:
-    """The turns of a formatted string as array<struct<role, body>>, role unescaped, body with its placeholders and escapes."""
+    """The turns of a formatted string as array<struct<role, body>>, role unescaped, body with its placeholders and escapes; null: null, '': none."""
     t = template or Template()
     quote = lambda s: "".join("\\" + c if not c.isalnum() else c for c in s)
     turns = F.filter(F.split(formatted, quote(t.end) + f"(?={quote(t.begin)}|$)"), lambda x: x != "")
@@ -142,7 +142,10 @@ def loss_texts(formatted: Column, spans: Column) -> Column:
 
 
 def digests(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """Digest columns read back from format_turns()'s output: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments, expanded_tokens."""
+    """Digest columns read back from format_turns()'s output: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments, expanded_tokens.
+
+    A null conv_id keeps its row; a conversation without turns cannot be there; an empty table gives an empty result.
+    """
     back = formatted.select("conv_id", "formatted", "attachments", parse(F.col("formatted"), template).alias("turns"), F.array_join(loss_texts(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
     all_turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), unescape(x["body"]), F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(all_turns, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),

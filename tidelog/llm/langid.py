@@ -536,6 +536,9 @@ def identify(docs: DataFrame, order: int = ORDER, most: int = MOST) -> DataFrame
 def stage(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is recognised, with the columns of docs.
 
+    Null texts, texts without a letter and texts that fit no learned language go; null languages teach nothing; an empty
+    table, or one without a row to learn from, gives an empty result.
+
     The verdict is attached to each row in one pass, so repeated ids and other columns stay as they are.
     """
     model = train(docs.where(crc_fold() != 1))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import pieces
 from tidelog.llm.extract import BLOCKS, DROP
 from tidelog.llm.markup import END, START, TEXT, attributes, events
-from tidelog.storage import cut
+from tidelog.storage import cut, ship
 
 UNIT, LINE = 192, 64
 ITEM = "position int, kind string, text string, src string, digest string, caption string"
@@ -141,9 +141,10 @@ def sequences(pages: DataFrame, key: str = "doc_id", html: str = "html", keep: t
     kind = pa.list_(pa.struct([(n.split()[0], pa.int32() if n.split()[1] == "int" else pa.string()) for n in ITEM.split(", ")]))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for y in batches for x in pieces(y, 0)):
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([items(x.as_py()) for x in b.column(0)], kind)], names=[*b.schema.names[1:], "items"])
 
+    ship(pages.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     struct_ = ", ".join(f"{a}: {t}" for a, t in (n.split() for n in ITEM.split(", ")))
     out = rows.mapInArrow(of, ", ".join([*[f"k{i} {kinds[f'k{i}']}" for i in range(len(keep) + 1)], f"items array<struct<{struct_}>>"]))
@@ -161,7 +162,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             payload = pad(raw)
             n.append(len(raw))
             digest.append(hashlib.sha256(payload).hexdigest())
-            html.append(f'<article><figure><img src="sha256:{digest[-1]}" alt="document"><figcaption>document {key.as_py()}</figcaption></figure></article>')
+            html.append(f'<article><p>Document {key.as_py()}</p><figure><img src="sha256:{digest[-1]}" alt="document"><figcaption>document {key.as_py()}</figcaption></figure><p>{len(raw)} bytes</p></article>')
             media.append(to_png(payload))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(html, pa.string()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "digest", "html", "media"])
 
@@ -179,17 +180,23 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in (x for y in batches for x in pieces(y, 1)):
         rows = {}
         for d, m in zip(b.column(0).to_pylist(), b.column(1)):
+            data = m.as_py()
+            s = from_png(data)
+            p = s.tobytes()
+            sha = hashlib.sha256(p).hexdigest()
+            if sha != d:
+                raise ValueError(f"stored media of digest {d} reads back as {sha}")
             if d not in rows:
-                data = m.as_py()
-                s = from_png(data)
-                p = s.tobytes()
-                rows[d] = (d, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(s))
+                rows[d] = (d, len(p), sha, zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(s))
         cols = list(zip(*rows.values())) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("payload_bytes", "tail_crc32", "media_bytes") else pa.string()) for n, c in zip(names, cols)], names=names)
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """One row a digest of stored media (digest, media): sizes, checksums and features of the samples read back."""
+    """One row a digest of stored media (digest, media): sizes, checksums and features of the samples read back.
+
+    Every stored row is read and its payload's digest compared; another one is an error. An empty table gives no rows.
+    """
     got = media.select("digest", "media").mapInArrow(_read_back, FEATURES)
     return got.groupBy("digest").agg(*[F.first(c.split()[0]).alias(c.split()[0]) for c in FEATURES.split(", ")[1:]])
 
@@ -197,14 +204,15 @@ def read_back(media: DataFrame) -> DataFrame:
 def resolve(seqs: DataFrame, media: DataFrame) -> DataFrame:
     """One row an item of seqs, with the columns of media (one row a digest) where its digest is found, else nulls.
 
-    Positions and captions stay beside what they belong to; items of one digest, however many, may be split over tasks.
+    Positions and captions stay beside what they belong to; text items and unknown digests have nulls. A digest may be
+    referred to by any number of items: Spark splits a join partition that is large. An empty table gives no rows.
     """
     flat = seqs.select(*[c for c in seqs.columns if c != "items"], F.inline("items"))
     return flat.join(media, "digest", "left")
 
 
 def gather(flat: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of resolve() as one sequence a key again, in order of position."""
+    """The rows of resolve() as one sequence a key again, in order of position; a null key is a key, repeated keys are one."""
     rest = [c for c in flat.columns if c not in (key, "position")]
     return flat.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("position", *rest))).alias("items"))
 
@@ -212,9 +220,13 @@ def gather(flat: DataFrame, key: str = "doc_id") -> DataFrame:
 def document_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, caption of every row of docs.
 
-    Null and empty texts are a payload of UNIT spaces. Equal texts give equal values. Repeated rows stay; an empty table
-    gives an empty result.
+    A document's sequence is a heading, its payload's image with a caption, and a line of text; the row of the image is
+    returned, with the text before and after it. Null and empty texts are a payload of UNIT spaces. Equal texts give
+    equal values. Repeated rows stay; an empty table gives an empty result.
     """
     stored = store(docs)
-    flat = resolve(sequences(stored, keep=("n_bytes",)), read_back(stored))
-    return flat.where("kind = 'image'").select("doc_id", "n_bytes", *[c.split()[0] for c in FEATURES.split(", ")[1:]], "position", "caption")
+    seqs = sequences(stored, keep=("n_bytes",))
+    beside = lambda by: F.element_at(F.transform(F.filter(F.transform("items", lambda x, i: F.struct((F.get("items", i + by)["text"]).alias("text"), x["kind"].alias("kind"))), lambda x: x["kind"] == "image"), lambda x: x["text"]), 1)
+    pictures = seqs.withColumns({"before": beside(-1), "after": beside(1)}).withColumn("items", F.filter("items", lambda x: x["kind"] == "image"))
+    flat = resolve(pictures, read_back(stored))
+    return flat.select("doc_id", "n_bytes", *[c.split()[0] for c in FEATURES.split(", ")[1:]], "position", "caption", "before", "after")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import every, fresh, pieces
 from tidelog.llm.components import components
-from tidelog.storage import cut
+from tidelog.storage import cut, ship
 
 DISTANCE = 4
 #: Distinct fingerprints up to which a grid of so many blocks is used. More blocks make more and finer cells; every grid
@@ -61,6 +61,7 @@ def _fingerprints(column: str, size: int):
 
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     """(doc_id, fp) of every row, fp as a signed long. Null, empty and blank texts have fingerprint 0."""
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_fingerprints("text", size), "doc_id long, fp long")
 
 
