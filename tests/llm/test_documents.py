@@ -128,7 +128,7 @@ def test_verdicts_equal_brute_force_mcd(spark):
         (m, c), (wm, wc) = fits[key], wider
         return w * m + (1 - w) * wm, w * c + (1 - w) * wc + w * (1 - w) * np.outer(m - wm, m - wm)
 
-    rows = {lang: max(0, len(of[lang]) - quality.NONE) for lang in {lang for lang, _ in source.values()} if lang in of}
+    rows = {lang: max(0, len(of[lang]) - quality.NONE) + len(of[lang]) / 1e6 for lang in {lang for lang, _ in source.values()} if lang in of}
     mean = sum(n * fits[k][0] for k, n in rows.items()) / sum(rows.values())
     wide = sum(n * (fits[k][1] + np.outer(fits[k][0], fits[k][0])) for k, n in rows.items()) / sum(rows.values()) - np.outer(mean, mean)
     langs = {lang: shrunk(lang, (mean, wide)) for lang, _ in source.values() if lang in of}

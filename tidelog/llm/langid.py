@@ -393,7 +393,8 @@ class Joined:
         parts = words.select("word", F.concat(F.lit(START * (order - 1)), "word", F.lit(STOP)).alias("w"))
         parts = parts.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - (order - 1)), lambda i: F.substring(F.col("w"), i, F.lit(order)))).alias("gram"))
         parts = cut(parts.groupBy("word", "gram").agg(F.count("*").alias("times")), "langid-parts")
-        out = parts.select("gram").distinct().join(F.broadcast(self.floor))
+        floors = F.array(*[F.struct(F.lit(r["lang"]).alias("lang"), F.lit(r["floor"]).alias("floor")) for r in self.floor.collect()])  # a row a language
+        out = parts.select("gram").distinct().select("gram", F.inline(floors))
         bits = F.col("floor")
         for k in range(1, order + 1):
             tail = F.substring(F.col("gram"), order - k + 1, k)

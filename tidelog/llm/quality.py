@@ -206,13 +206,12 @@ def fit(rows: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame:
     return params.join(middle, "pool").join(sizes, "pool").withColumn("wide", wide).selectExpr("pool", "n", *[f"m{i}" for i in P], *[f"c{i}{j} * wide c{i}{j}" for i, j in LOWER])
 
 
-def _mean(langs: DataFrame) -> DataFrame:
-    """One row (wm*, wc*): the mean of the languages' estimates (n, m*, c*), by their rows beyond NONE, or by all where none has more."""
-    langs = langs.selectExpr("*", f"greatest(n - {NONE}, 0) w0")
-    total = langs.agg(F.sum("w0").alias("all0"))
-    w = langs.join(F.broadcast(total)).selectExpr("*", "case when all0 > 0 then w0 else n end w")  # one row
+def _mean(langs: DataFrame) -> dict[str, float]:
+    """The mean wm*, wc* of the languages' estimates (n, m*, c*): one row; by their rows beyond NONE, others count next to nothing."""
+    w = langs.selectExpr("*", f"greatest(n - {NONE}, 0) + n / 1000000 w")
     sums = w.agg(F.sum("w").alias("t"), *[F.expr(f"sum(w * m{i}) s{i}") for i in P], *[F.expr(f"sum(w * (c{i}{j} + m{i} * m{j})) q{i}{j}") for i, j in LOWER])
-    return sums.selectExpr(*[f"s{i} / t wm{i}" for i in P], *[f"q{i}{j} / t - (s{i} / t) * (s{j} / t) wc{i}{j}" for i, j in LOWER])
+    got = sums.selectExpr(*[f"s{i} / t wm{i}" for i in P], *[f"q{i}{j} / t - (s{i} / t) * (s{j} / t) wc{i}{j}" for i, j in LOWER])
+    return {k: v if v is not None else 0.0 for k, v in got.first().asDict().items()}
 
 
 def _shrunk(own: DataFrame, wider: DataFrame, key: str) -> DataFrame:
@@ -234,8 +233,7 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame
     got = cut(fit(rows.select(F.array("source_key", "lang_key").alias("pools"), *DIMS), share, steps), "mcd-fit")
     groups = cut(rows.select("source_key", "lang_key").distinct(), "mcd-groups")
     langs = cut(groups.select("lang_key").distinct().join(got.withColumnRenamed("pool", "lang_key"), "lang_key"), "mcd-langs")
-    langs = langs.join(F.broadcast(_mean(langs)))  # one row
-    langs = _shrunk(langs.select("lang_key", "n", *[c for c in got.columns if c[0] in "mc"]), langs.select("lang_key", *[f"wm{i}" for i in P], *[f"wc{i}{j}" for i, j in LOWER]), "lang_key")
+    langs = _shrunk(langs, langs.select("lang_key", *[F.lit(v).alias(k) for k, v in _mean(langs).items()]), "lang_key")
     own = groups.join(got.withColumnRenamed("pool", "source_key"), "source_key")
     return _factor(_shrunk(own, _wider(langs, "lang_key"), "lang_key"), "source_key")
 
