@@ -20,6 +20,13 @@ def audit_stats(audit: DataFrame) -> DataFrame:
     return audit.groupBy("event_type").agg(F.count("*").alias("events"))
 
 
+def counters(rows: DataFrame, kinds: dict[str, Column], sums: dict[str, tuple[str, Column]], by: str = "topic") -> DataFrame:
+    """(by, counters): rows of each kind, and sums over rows of a kind; one aggregate, partial before its shuffle."""
+    counted = [F.count_if(when).alias(name) for name, when in kinds.items()]
+    summed = [F.coalesce(F.sum(F.when(kinds[kind], value)), F.lit(0)).cast("long").alias(name) for name, (kind, value) in sums.items()]
+    return rows.groupBy(by).agg(*counted, *summed)
+
+
 def retained(audit: DataFrame, now_ms: int, keep_ms: int) -> DataFrame:
     return audit.where(F.col("timestamp") >= now_ms - keep_ms)
 

@@ -19,10 +19,16 @@ def valid_topic(name: Column) -> Column:
 
 
 def build_records(batches: DataFrame) -> DataFrame:
-    """Raw (batch, seq, key, value): a batch with a null value is rejected whole; else its records with frame sizes."""
+    """Raw (batch, seq, key, value, headers map<string, string> if there are any): a batch with a null value is rejected whole; else its records with frame sizes.
+
+    A null key is no key. Headers become pairs in order of name; those without a value are left out, null headers are none.
+    """
     bad = batches.where("value is null").select("batch").distinct()
     ok = batches.join(bad, "batch", "left_anti")
-    return ok.withColumn("frame_bytes", frame_bytes(F.col("key"), F.col("value")))
+    if "headers" not in batches.columns:
+        return ok.withColumn("frame_bytes", frame_bytes(F.col("key"), F.col("value")))
+    pairs = F.sort_array(F.filter(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string, string>"))), lambda h: h["value"].isNotNull()))
+    return ok.withColumn("headers", pairs).withColumn("frame_bytes", frame_bytes(F.col("key"), F.col("value"), F.col("headers")))
 
 
 def owners(records: DataFrame, active: DataFrame, on: tuple[str, ...] = ("topic",), how: str = "inner") -> DataFrame:
@@ -95,19 +101,21 @@ def should_seal(bytes_: Column, age_ms: Column, state: Column, max_bytes: int, m
     return (state == "active") & ((bytes_ >= max_bytes) | (age_ms >= max_age_ms))
 
 
-def segment_roll(log: DataFrame, max_bytes: int) -> DataFrame:
-    """(topic, range_seq, batch, bytes, seg_seq): after a batch that fills a segment, the next one begins.
+def segment_roll(log: DataFrame, max_bytes: int, max_age_ms: int | None = None) -> DataFrame:
+    """(topic, range_seq, batch, bytes, seg_seq): after a batch that fills a segment, or that comes when the segment's first is max_age_ms old, the next one begins.
 
     A running sum with resets is sequential, but over batches, not records: bytes are summed before the fold.
     """
 
-    def step(state: tuple[int, int], batch: int, size: int):
-        seg, held = state
-        held += size
-        return (seg + 1, 0) if held >= max_bytes else (seg, held), (batch, size, seg)
+    def step(state: tuple[int, int, int | None], batch: int, size: int, at: int):
+        seg, held, since = state
+        held, since = held + size, at if since is None else since
+        full = held >= max_bytes or (max_age_ms is not None and at - since >= max_age_ms)
+        return (seg + 1, 0, None) if full else (seg, held, since), (batch, size, seg)
 
-    sums = log.groupBy("topic", "range_seq", "batch").agg(F.sum("frame_bytes").alias("bytes"))
-    return ordered_fold(sums, ("topic", "range_seq"), ("batch",), ("batch", "bytes"), lambda: (0, 0), step, "topic string, range_seq long, batch long, bytes long, seg_seq long")
+    at = F.max("timestamp") if max_age_ms is not None else F.lit(0)
+    sums = log.groupBy("topic", "range_seq", "batch").agg(F.sum("frame_bytes").alias("bytes"), at.alias("at"))
+    return ordered_fold(sums, ("topic", "range_seq"), ("batch",), ("batch", "bytes", "at"), lambda: (0, 0, None), step, "topic string, range_seq long, batch long, bytes long, seg_seq long")
 
 
 def with_position(records: DataFrame, keyspace: int, key: str = "key") -> DataFrame:

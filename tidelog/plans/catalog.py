@@ -121,6 +121,32 @@ def segment_roll(x):
     return produce.segment_roll(x.log, 2048)
 
 
+@query(""", b as (select topic, range_seq, batch, sum(frame_bytes)::bigint bytes, max(timestamp) t_, row_number() over (partition by topic, range_seq order by batch) i from log group by 1, 2, 3),
+r(topic, range_seq, batch, bytes, i, seg_seq, size, since, last_) as (select topic, range_seq, batch, bytes, i, 0::bigint, bytes, t_, t_ from b where i = 1
+  union all select topic, range_seq, batch, bytes, i, case when full_ then seg_seq + 1 else seg_seq end, case when full_ then bytes else size + bytes end, case when full_ then t_ else since end, t_
+  from (select b.*, r.seg_seq, r.size, r.since, r.size >= 8192 or r.last_ - r.since >= 86400000 full_ from r join b on b.topic = r.topic and b.range_seq = r.range_seq and b.i = r.i + 1))
+select topic, range_seq, batch, bytes, seg_seq from r""")
+def segment_roll_by_age(x):
+    """A day, or eight kilobytes."""
+    return produce.segment_roll(x.log, 8192, 86_400_000)
+
+
+@query("select event_id // 10 batch, event_id seq, (frame_bytes + case when pos % 3 = 0 then 8 + 3 + octet_length(encode(topic)) else 0 end)::bigint frame_bytes, case when pos % 3 = 0 then 'src=' || topic else '' end headers from rec where event_id // 10 not in (select event_id // 10 from rec where pos = 7)")
+def build_records_with_headers(x):
+    """A header without a value is left out; so are null headers."""
+    heads = F.when(F.col("pos") % 3 == 0, F.create_map(F.lit("src"), F.col("topic"), F.lit("none"), F.lit(None).cast("string")))
+    raw = x.records.select(F.expr("event_id div 10").alias("batch"), F.col("event_id").alias("seq"), F.col("key"), F.when(F.col("pos") != 7, F.col("value")).alias("value"), heads.alias("headers"))
+    got = produce.build_records(raw)
+    return got.select("batch", "seq", "frame_bytes", F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), h["value"])), ",").alias("headers"))
+
+
+@query("select topic, count(*) filter (event_id % 3 = 0) consumed, coalesce(sum(octet_length(encode(value))) filter (event_id % 3 = 0), 0)::bigint consumed_bytes, count(*) filter (event_id % 5 = 0) denied, count(*) filter (event_id % 7 = 0) replicated from log group by 1")
+def traffic_counters(x):
+    """Consumed records and bytes, refused requests and replicated records of each topic."""
+    e = F.col("event_id")
+    return ops.counters(x.log, {"consumed": e % 3 == 0, "denied": e % 5 == 0, "replicated": e % 7 == 0}, {"consumed_bytes": ("consumed", F.octet_length("value"))})
+
+
 @query("select segment, state = 'active' and (coalesce(byte_size, 0) >= 4000 or t - coalesce(sealed_at, t) >= 3600000) as seal from segments, tmax")
 def should_seal(x):
     age = F.lit(x.now) - F.coalesce("sealed_at", F.lit(x.now))
