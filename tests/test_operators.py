@@ -409,3 +409,13 @@ def test_owner_equals_the_scan(spark, n):
     got = {x.h: x.v for x in df.select("h", ring.owner(F.col("h"), r).alias("v")).collect()}
     for h in hashes:
         assert got[h] == f"v{next((t for t in tokens if t >= h), tokens[0])}"
+
+
+def test_readers_of_a_stored_log_scan_what_they_ask_for(spark, tmp_path):
+    log = spark.range(2000).select(F.concat(F.lit("t"), F.col("id") % 3).alias("topic"), (F.col("id") % 4).alias("range_seq"), F.col("id").alias("offset"), (F.col("id") % 256).alias("pos"), F.lit("v").alias("value"))
+    stored = produce.store(log, f"file://{tmp_path}/log")
+    assert stored.count() == 2000 and stored.dtypes == log.dtypes
+    plan = metadata.segment_read(stored, "t1", 1, 100, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(topic" in plan and "(range_seq" in plan and "GreaterThanOrEqual(offset,100)" in plan
+    plan = produce.slice_of(stored, 64, 128).select("offset")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(pos,64), LessThan(pos,128)" in plan and "value" not in plan

@@ -122,6 +122,12 @@ def with_position(records: DataFrame, keyspace: int, key: str = "key") -> DataFr
     return records.withColumn("pos", position(F.col(key), keyspace))
 
 
+def store(log: DataFrame, path: str) -> DataFrame:
+    """The log written under `path`, a folder a topic and range, sorted by offset, and read back: readers of a topic, a range or a slice of offsets or keys scan no more than that."""
+    log.sortWithinPartitions("topic", "range_seq", "offset").write.partitionBy("topic", "range_seq").parquet(path)
+    return log.sparkSession.read.schema(log.schema).parquet(path).select(*log.columns)
+
+
 def slice_of(log: DataFrame, start: int, end: int) -> DataFrame:
-    """Records whose key falls into [start, end): a filter on a stored column, so it reaches the scan."""
+    """Records whose key falls into [start, end): of a stored log, a filter that reaches the scan."""
     return log.where(within(F.col("pos"), F.lit(start), F.lit(end)))

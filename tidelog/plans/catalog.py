@@ -104,12 +104,12 @@ def produce_log(x):
 
 @query("select topic, count(*) records, sum(octet_length(encode(value)))::bigint value_bytes, sum(frame_bytes)::bigint frame_bytes, count(distinct batch) batches from log group by 1")
 def produce_stats(x):
-    return produce.stats(x.log)
+    return produce.stats(x.stored)
 
 
 @query("select event_id, pos from log where pos >= 64 and pos < 128")
 def slice_filter(x):
-    return produce.slice_of(x.log, 64, 128).select("event_id", "pos")
+    return produce.slice_of(x.stored, 64, 128).select("event_id", "pos")
 
 
 @query(""", b as (select topic, range_seq, batch, sum(frame_bytes)::bigint bytes, row_number() over (partition by topic, range_seq order by batch) i from log group by 1, 2, 3),
@@ -170,7 +170,7 @@ def build_records(x):
 @query("select topic, reader, source_index, range_seq, off, event_id from hist")
 def range_history(x):
     active = x.ranges.where("state = 'active'")
-    return consume.history(x.log, active, x.ranges).select("topic", "reader", "source_index", "range_seq", "offset", "event_id")
+    return consume.history(x.stored, active, x.ranges).select("topic", "reader", "source_index", "range_seq", "offset", "event_id")
 
 
 @query(", e as (select topic, range_seq, min(start_offset) earliest from segments where seg_seq > 0 group by 1, 2) select h.topic, reader, h.source_index, off, event_id from hist h left join e on e.topic = h.topic and e.range_seq = h.range_seq where off >= coalesce(earliest, 0)")
@@ -178,17 +178,17 @@ def consume_cross_epoch(x):
     """After retention has dropped the first segment of every range that has more than one."""
     left = metadata.earliest(x.segments.where("seg_seq > 0"))
     active = x.ranges.where("state = 'active'")
-    return consume.clamp(consume.history(x.log, active, x.ranges), left).select("topic", "reader", "source_index", "offset", "event_id")
+    return consume.clamp(consume.history(x.stored, active, x.ranges), left).select("topic", "reader", "source_index", "offset", "event_id")
 
 
 @query("select topic, reader, source_index, off, event_id from (select *, row_number() over (partition by topic, reader order by source_index, off) i from hist) where i <= 10")
 def fetch_page(x):
-    return consume.page(consume.history(x.log, x.ranges.where("state = 'active'"), x.ranges), 10).select("topic", "reader", "source_index", "offset", "event_id")
+    return consume.page(consume.history(x.stored, x.ranges.where("state = 'active'"), x.ranges), 10).select("topic", "reader", "source_index", "offset", "event_id")
 
 
 @query("select topic, reader, source_index, off, event_id from (select *, row_number() over (partition by topic, reader order by source_index, off) i from hist) where i > 10 and i <= 20")
 def fetch_resume(x):
-    full = consume.history(x.log, x.ranges.where("state = 'active'"), x.ranges)
+    full = consume.history(x.stored, x.ranges.where("state = 'active'"), x.ranges)
     first = consume.page(full, 10)
     return consume.page(consume.after(full, consume.next_positions(first)), 10).select("topic", "reader", "source_index", "offset", "event_id")
 
@@ -196,7 +196,7 @@ def fetch_resume(x):
 @query("""select topic, reader, source_index, off, event_id from (select h.topic, reader, h.source_index, off, event_id, row_number() over (partition by h.topic, reader order by h.source_index, off) i
 from hist h left join committed c on c.grp = 'g1' and c.topic = h.topic and c.range_seq = h.reader where c.grp is null or (h.source_index, off) >= (c.source_index, c.source_offset)) where i <= 10""")
 def fetch_group(x):
-    return consume.fetch_group(x.log, x.ranges, x.commits, "g1", 10).select("topic", "reader", "source_index", "offset", "event_id")
+    return consume.fetch_group(x.stored, x.ranges, x.commits, "g1", 10).select("topic", "reader", "source_index", "offset", "event_id")
 
 
 _ASSIGN = """, a as (select topic, seq range_seq, arg_max(member, struct_pack(s := md5(topic || '/' || seq || '|' || member), m := member)) member from ranges, members where state = 'active' group by 1, 2) """
@@ -207,12 +207,12 @@ from hist h join a on a.topic = h.topic and a.range_seq = h.reader and a.member
 where c.grp is null or (h.source_index, off) >= (c.source_index, c.source_offset)) where i <= 10""")
 def fetch_member(x):
     a = groups.assign(x.ranges, x.members)
-    return consume.fetch_member(x.log, x.ranges, x.commits, a, "g1", "m1", 10).select("topic", "reader", "source_index", "offset", "event_id")
+    return consume.fetch_member(x.stored, x.ranges, x.commits, a, "g1", "m1", 10).select("topic", "reader", "source_index", "offset", "event_id")
 
 
 @query("select topic, key k, value v, timestamp ts_ms from log")
 def client_view(x):
-    return consume.client_view(x.log)
+    return consume.client_view(x.stored)
 
 
 @query("select grp, topic, range_seq, source_index, source_offset from committed")
@@ -303,19 +303,19 @@ def locate_segment(x):
 @query(" select l.topic, l.range_seq, l.off, s.seg_seq, s.start_offset from log l asof join segments s on l.topic = s.topic and l.range_seq = s.range_seq and l.off >= s.start_offset")
 def locate_every(x):
     """The segment of every log row."""
-    return metadata.locate(x.segments, x.log.select("topic", "range_seq", "offset"))
+    return metadata.locate(x.segments, x.stored.select("topic", "range_seq", "offset"))
 
 
 @query("select topic, range_seq, off, event_id from log where topic = 'view' and range_seq = 2 and off >= 5 order by off limit 20")
 def segment_read(x):
-    return metadata.segment_read(x.log, "view", 2, 5, 20).select("topic", "range_seq", "offset", "event_id")
+    return metadata.segment_read(x.stored, "view", 2, 5, 20).select("topic", "range_seq", "offset", "event_id")
 
 
 @query(", w as (select topic, range_seq, max(off) + d off from log, (values (-1), (1), (5)) t(d) group by topic, range_seq, d), e as (select topic, range_seq, min(off) lo, max(off) + 1 hi from log group by 1, 2) select w.topic, w.range_seq, w.off, case when w.off >= lo and w.off < hi then 'ok' when w.off = hi then 'eof' else 'out_of_range' end status from w join e using (topic, range_seq)")
 def log_read(x):
-    top = x.log.groupBy("topic", "range_seq").agg(F.max("offset").alias("o"))
+    top = x.stored.groupBy("topic", "range_seq").agg(F.max("offset").alias("o"))
     wanted = top.select("topic", "range_seq", F.explode(F.array(F.col("o") - 1, F.col("o") + 1, F.col("o") + 5)).alias("offset"))
-    return metadata.read_status(x.log, wanted)
+    return metadata.read_status(x.stored, wanted)
 
 
 @query(", i as (select topic, range_seq, off, sum(frame_bytes) over (partition by topic, range_seq order by off) - frame_bytes p from log), k as (select * from i where off % 16 = 0), w as (select topic, range_seq, off target from log where event_id % 11 = 0) select w.topic, w.range_seq, target, k.off, p::bigint as position from w asof join k on w.topic = k.topic and w.range_seq = k.range_seq and target >= k.off")
@@ -445,7 +445,7 @@ def quorum_commit(x):
 
 @query("select topic || '/' || range_seq segment, off // 100 batch_no, min(off) as \"first\", max(off) as \"last\", count(*) records from log where event_id % 3 = 0 group by 1, 2")
 def catchup_gap(x):
-    s = x.log.select(F.concat_ws("/", "topic", F.col("range_seq").cast("string")).alias("segment"), "offset", "event_id")
+    s = x.stored.select(F.concat_ws("/", "topic", F.col("range_seq").cast("string")).alias("segment"), "offset", "event_id")
     return placement.catchup_gap(s.select("segment", "offset"), s.where("event_id % 3 <> 0").select("segment", "offset"), 100)
 
 
@@ -761,14 +761,14 @@ def acl_grants(x):
 @query()
 def frame_encode(x):
     f = frames.frame(F.col("offset"), F.col("timestamp"), F.col("key"), F.col("value"))
-    return x.log.select("topic", "range_seq", "offset", F.sha2(f, 256).alias("frame_sha256"), F.octet_length(f).alias("frame_bytes"))
+    return x.stored.select("topic", "range_seq", "offset", F.sha2(f, 256).alias("frame_sha256"), F.octet_length(f).alias("frame_bytes"))
 
 
 @query("select off, timestamp ts_ms, key k, value v from log")
 def frame_scan(x):
     """The log as framed files, read back by the data source."""
     folder = new_path(x.spark, "framed")
-    framed.write_framed(x.log.repartition(4, "topic", "range_seq"), folder, 2000)
+    framed.write_framed(x.stored.repartition(4, "topic", "range_seq"), folder, 2000)
     framed.register(x.spark)
     got = x.spark.read.format("framed").option("path", folder).load()
     return got.select("offset", "timestamp", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
@@ -834,7 +834,7 @@ def fetch_precedence(x):
     cursor = x.ranges.where("state = 'active'").select("topic", F.col("seq").alias("range_seq"), F.lit(1).cast("long").alias("source_index"), F.lit(3).cast("long").alias("source_offset"))
     a = groups.assign(x.ranges, x.members)
     asked = {"member": {"assignment": a, "cursor": cursor, "group": "g1", "member": "m1"}, "cursor": {"cursor": cursor, "group": "g1"}, "start": {"topic": "view"}}
-    parts = [consume.fetch(x.log, x.ranges, x.commits, most=5, **how).select(F.lit(name).alias("how"), "topic", "reader", "source_index", "offset", "event_id") for name, how in asked.items()]
+    parts = [consume.fetch(x.stored, x.ranges, x.commits, most=5, **how).select(F.lit(name).alias("how"), "topic", "reader", "source_index", "offset", "event_id") for name, how in asked.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

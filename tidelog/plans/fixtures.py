@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tidelog.functions.frames import frame_bytes
 from tidelog.functions.keyspace import even_tokens, position
 from tidelog.operators import placement
-from tidelog.operators.produce import assign_offsets, route
+from tidelog.operators.produce import assign_offsets, route, store
+from tidelog.storage import new_path
 
 KEYSPACE = 256
 #: seq, block, epochs in which it is active, parents
@@ -24,6 +25,9 @@ DEAD = ("b3", "b7")
 TS = "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))"
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
 class Fixture:
     """Tables of one data folder, each built when it is first asked for."""
 
@@ -69,6 +73,16 @@ class Fixture:
     def log(self) -> DataFrame:
         return assign_offsets(route(self.records, self.by_epoch, ("topic", "epoch")), "event_id")
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The log as a stored table, written once an application and data folder: what readers read."""
+        at = self.spark.sparkContext.applicationId, self.dir
+        if at not in _stored:
+            path = new_path(self.spark, "log")
+            store(self.log, path)
+            _stored[at] = path
+        return self.spark.read.schema(self.log.schema).parquet(_stored[at]).select(*self.log.columns)
+
     @cached_property
     def segments(self) -> DataFrame:
         s = self.log.groupBy("topic", "range_seq", F.expr("event_id div 500").alias("chunk")).agg(F.min("offset").alias("start_offset"), F.count("*").alias("length"), F.sum("frame_bytes").alias("byte_size"), F.max("timestamp").alias("sealed_at"))
