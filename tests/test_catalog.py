@@ -45,3 +45,29 @@ def test_query_without_sql_runs(spark, sf, name):
 @pytest.mark.parametrize("name", ["locate_every", "sparse_seek_every"])
 def test_lookups_cover_the_whole_log(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() == catalog.QUERIES["produce_log"](spark, sf).count()
+
+
+def test_frames_of_the_whole_log_equal_pythons(spark, sf):
+    """frame_encode over every log row, against the frames that plain Python packs."""
+    import hashlib
+
+    from tidelog.functions import frames
+    from tidelog.plans.fixtures import Fixture
+
+    log = Fixture(spark, sf).log.collect()
+    want = {(r.topic, r.range_seq, r.offset): frames.pack(frames.Record(r.offset, r.timestamp, r.key.encode(), r.value.encode())) for r in log}
+    got = catalog.QUERIES["frame_encode"](spark, sf).collect()
+    assert len(got) == len(want)
+    for r in got:
+        data = want[r.topic, r.range_seq, r.off]
+        assert (r.frame_sha256, r.frame_bytes) == (hashlib.sha256(data).hexdigest(), len(data))
+
+
+def test_balanced_placement_over_all_vnodes(spark, sf):
+    """Three different brokers each, loads one apart at most, and the best brokers wherever there is room."""
+    import collections
+
+    got = catalog.QUERIES["placement_balanced"](spark, sf).collect()
+    load = collections.Counter(b for r in got for b in r.replicas.split(","))
+    assert len(got) == 64 and all(len(set(r.replicas.split(","))) == 3 for r in got)
+    assert max(load.values()) - min(load.values()) <= 1 or max(load.values()) <= -(-64 * 3 // len(load))
