@@ -915,3 +915,43 @@ def apply_heal(x):
 @query(_MERGE + "select min(member) member from w where status = 'alive' having count(*) > 0")
 def live_leader(x):
     return groups.leader(groups.merge_views(_views(x)))
+
+
+_STEPS = [("create_topic", "ok"), ("define_policy", "ok"), ("set_topic_policy", "ok"), ("set_topic_policy", "no_such_policy"), ("begin_migration", "ok"), ("split_range", "migrating"), ("commit_offset", "migrating"),
+          ("end_migration", "ok"), ("commit_offset", "ok"), ("split_range", "ok"), ("seal_topic", "ok"), ("split_range", "sealed"), ("extract_topic", "ok"), ("seal_topic", "no_such_topic"), ("insert_topic", "ok"),
+          ("begin_migration", "ok"), ("delete_topic", "migrating"), ("end_migration", "ok"), ("delete_topic", "ok"), ("delete_topic", "no_such_topic"), ("begin_migration", "no_such_topic"), ("no_command", "unknown_command")]
+
+
+@query(", st(step, command, answer) as (values " + ", ".join(f"({k}::bigint, '{c}', '{a}')" for k, (c, a) in enumerate(_STEPS)) + ") select name topic, step, command, answer from topics, st")
+def topic_commands(x):
+    """What the command log answers for each topic: policies, migration and its fence, sealing, moving out and in, deletion."""
+    m, out = machine.Metadata(), []
+    for (t,) in x.topics.select("name").orderBy("name").collect():
+        bundle = None
+        args = [(t, 8), ("short", {"max_age_ms": 1}), (t, "short"), (t, "nope"), (t,), ((t, 0),), ("g", t, {0: (0, 1)}), (t,), ("g", t, {0: (0, 1)}), ((t, 0),), (t,), ((t, 1),), (t,), (t,), None, (t,), (t,), (t,), (t,), (t,), (t,), ()]
+        for step, ((command, _), a) in enumerate(zip(_STEPS, args)):
+            kind, value = m.apply(command, *((bundle,) if a is None else a))
+            bundle = value if command == "extract_topic" else bundle
+            out.append((t, step, command, kind if kind == "ok" else value))
+    return x.spark.createDataFrame(out, "topic string, step long, command string, answer string")
+
+
+@query("select topic, segment, state, start_offset, length, byte_size, case when state = 'active' then 'b1,b2' else 'b0' end replicas from segments where seg_seq > 0 or state = 'active'")
+def segment_commands(x):
+    """Every segment registered while its range was open, sealed where it is, given new replicas where it is not; sealed first segments are deleted, active ones refuse."""
+    log: list[tuple] = []
+    by: dict = {}
+    for r in x.segments.orderBy("topic", "range_seq", "seg_seq").collect():  # the command log is control state, a row a segment
+        by.setdefault(r["topic"], {}).setdefault(r["range_seq"], []).append(r)
+    for t, ranges in by.items():
+        log.append(("create_topic", t, 8))
+        for seq in range(6):
+            if after := {1: ("split_range", (t, 0)), 3: ("split_range", (t, 1)), 5: ("merge_ranges", (t, 3), (t, 4))}.get(seq):
+                # the segments of both children are registered before the next change of ranges
+                log.append(after)
+            for s in ranges.get(seq, []):
+                log.append(("register_segment", s["segment"], (t, seq), ["b0"], s["start_offset"]))
+                log.append(("seal_segment", s["segment"], s["length"], s["byte_size"], s["sealed_at"]) if s["state"] == "sealed" else ("set_segment_replicas", s["segment"], ["b1", "b2"]))
+        log += [("delete_segment", s[0]["segment"]) for s in ranges.values()]
+    m, _ = machine.fold(log)
+    return m.tables(x.spark)["segments"].select("topic", F.col("id").alias("segment"), "state", "start_offset", "length", "byte_size", F.array_join("replica_set", ",").alias("replicas"))
