@@ -419,3 +419,24 @@ def test_readers_of_a_stored_log_scan_what_they_ask_for(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(topic" in plan and "(range_seq" in plan and "GreaterThanOrEqual(offset,100)" in plan
     plan = produce.slice_of(stored, 64, 128).select("offset")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(pos,64), LessThan(pos,128)" in plan and "value" not in plan
+
+
+def test_long_poll_and_windows(spark, tmp_path):
+    """A poll returns as soon as there is something, and empty-handed when its time is over; sessions and seconds are counted as events come."""
+    asked = []
+
+    def fetch():
+        asked.append(1)
+        return spark.range(2).where(F.lit(len(asked) >= 3))
+
+    assert len(live.long_poll(fetch, 20_000, 10)) == 2 and len(asked) == 3
+    began = time.monotonic()
+    assert live.long_poll(lambda: spark.range(0), 300, 50) == [] and time.monotonic() - began >= 0.3
+    rows = [("g", "t", "m", s) for s in (0, 1, 2, 30, 31)]
+    spark.createDataFrame(rows, "group string, topic string, member string, s long").select("group", "topic", "member", F.timestamp_seconds("s").alias("at")).coalesce(1).write.parquet(f"{tmp_path}/hb")
+    read = lambda: spark.readStream.schema("group string, topic string, member string, at timestamp").parquet(f"{tmp_path}/hb")
+    for name, df in (("sessions", live.member_stream(read(), "10 seconds")), ("seconds", live.per_second(read()))):
+        q = df.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    assert sorted(r.beats for r in spark.table("sessions").collect()) == [2, 3]
+    assert sorted(r.events for r in spark.table("seconds").collect()) == [1] * 5

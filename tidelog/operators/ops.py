@@ -31,6 +31,20 @@ def retained(audit: DataFrame, now_ms: int, keep_ms: int) -> DataFrame:
     return audit.where(F.col("timestamp") >= now_ms - keep_ms)
 
 
+def iso8601(ms: Column) -> Column:
+    """Milliseconds since 1970 as a UTC time with milliseconds, whatever the session's time zone."""
+    days, rest = F.floor(ms / 86_400_000), F.pmod(ms, F.lit(86_400_000))
+    part = lambda by, of, width: F.lpad(F.pmod(F.floor(rest / by), F.lit(of)).cast("string"), width, "0")
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")), "yyyy-MM-dd")
+    return F.concat(day, F.lit("T"), part(3_600_000, 24, 2), F.lit(":"), part(60_000, 60, 2), F.lit(":"), part(1000, 60, 2), F.lit("."), part(1, 1000, 3), F.lit("Z"))
+
+
+def write_lines(lines: DataFrame, path: str, by: str | None = None) -> None:
+    """Append the column `line` as text files, in a folder for each value of `by` if it is given."""
+    out = lines.select("line", *([by] if by else [])).write.mode("append")
+    (out.partitionBy(by) if by else out).text(path)
+
+
 def json_line(*columns: str) -> Column:
     return F.to_json(F.struct(*columns))
 

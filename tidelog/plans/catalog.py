@@ -955,3 +955,17 @@ def segment_commands(x):
         log += [("delete_segment", s[0]["segment"]) for s in ranges.values()]
     m, _ = machine.fold(log)
     return m.tables(x.spark)["segments"].select("topic", F.col("id").alias("segment"), "state", "start_offset", "length", "byte_size", F.array_join("replica_set", ",").alias("replicas"))
+
+
+@query("select event_id, '{\"at\":\"' || strftime(make_timestamp(timestamp * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') || '\",\"event_type\":\"' || event_type || '\"}' line from audit")
+def audit_iso_lines(x):
+    a = x.audit.withColumn("at", ops.iso8601(F.col("timestamp")))
+    return a.select("event_id", ops.json_line("at", "event_type").alias("line"))
+
+
+@query("select timestamp // 86400000 as day, '{\"event_id\":' || event_id || ',\"username\":\"' || username || '\"}' line from audit")
+def audit_sink(x):
+    """Audit lines written as text, a folder a day, and read back."""
+    path = new_path(x.spark, "audit")
+    ops.write_lines(x.audit.select(F.expr("timestamp div 86400000").alias("day"), ops.json_line("event_id", "username").alias("line")), path, "day")
+    return x.spark.read.text(path).select(F.col("day").cast("long").alias("day"), F.col("value").alias("line"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -44,12 +45,26 @@ def produce_stream(records: DataFrame, active: DataFrame, log_path: str, checkpo
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def deliver(spark: SparkSession, log_path: str, schema, checkpoint: str, process: Callable[[DataFrame, int], None], window: int = 100) -> StreamingQuery:
-    """Push new log files to `process`, at most `window` a batch. Positions are committed by the checkpoint after processing: at least once."""
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", window).parquet(log_path)
+def deliver(spark: SparkSession, log_path: str, schema, checkpoint: str, process: Callable[[DataFrame, int], None], files: int = 100) -> StreamingQuery:
+    """Push new log records to `process`, those of at most `files` files a batch. Positions are committed by the checkpoint after processing: at least once.
+
+    Stopping the query is the way to unsubscribe; started again with its checkpoint, it goes on behind what was processed.
+    """
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(log_path)
     return source.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def long_poll(fetch: Callable[[], DataFrame], wait_ms: int, pause_ms: int = 100) -> list:
+    """The rows of fetch() as soon as it has any, else none once wait_ms (at most 30 s) have gone by. fetch() is a page, so it is bounded."""
+    until = time.monotonic() + min(max(wait_ms, 0), 30_000) / 1000
+    while not (rows := fetch().collect()):
+        left = until - time.monotonic()
+        if left <= 0:
+            break
+        time.sleep(min(pause_ms / 1000, left))
+    return rows
+
+
 def credit_window(events: list[tuple[str, int]], window: int, most: int, ranges: int = 1) -> list[int]:
     """Records delivered after each of ('produce', n) and ('ack', n): a push never exceeds the credit that is left, over all ranges together."""
     waiting = in_flight = 0
