@@ -318,7 +318,10 @@ def train(rows: DataFrame, order: int = ORDER, most: int = MOST) -> Model | Join
         alphabet = len(np.unique(np.concatenate([v[0][0].ravel() for v in counts.values()]))) if counts else 0
         seen = np.concatenate([v[-1][0] for v in counts.values()]) if counts else None
         model = Model({lang: train_language(v, alphabet) for lang, v in counts.items()}, order, seen)
-    return _calibrate(model, rows.where(held), rows.where(~held))
+        del counts, seen
+    model = _calibrate(model, rows.where(held), rows.where(~held))
+    trim()  # what the driver gathered goes back to the system
+    return model
 
 
 #: Sums over the words of a text: characters, bits, squared bits, bits times characters, squared characters.
@@ -454,6 +457,7 @@ def predict(docs: DataFrame, model: Model | Joined, keep: list[str] | None = Non
             lang, score, bits, rejected = m.predict(b.column(0))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)], names=[*b.schema.names[1:], "lang_pred", "score", "bits", "rejected"])
 
+    trim()
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     schema = ", ".join([f"k{i} {kinds[f'k{i}'].simpleString()}" for i in range(len(keep))] + ["lang_pred string", "score double", "bits double", "rejected boolean"])
     out = rows.mapInArrow(of, schema)
