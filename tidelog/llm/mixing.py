@@ -201,9 +201,11 @@ def stage(docs: DataFrame) -> DataFrame:
     """
     n, one, two, times = fresh(docs, "mix_copies", "mix_one", "mix_two", "mix_rows")
     got = copies(docs).groupBy(F.col("u1").alias(one), F.col("u2").alias(two)).agg(F.sum("copies").alias(n), F.count("*").alias(times))
+    got = cut(got, "mix-copies")
     u1, u2 = identity(docs)
     # a row a document: too many to broadcast, however few they are in a test
     met = docs.withColumns({one: u1, two: u2}).join(got.where(F.col(n) > 0).hint("merge"), [one, two])
-    equal = met.where(F.col(times) > 1).dropDuplicates([one, two])
-    both = met.where(F.col(times) == 1).unionByName(equal)
+    both = met
+    if not got.where(F.col(times) > 1).isEmpty():
+        both = met.where(F.col(times) == 1).unionByName(met.where(F.col(times) > 1).dropDuplicates([one, two]))
     return both.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*every(docs))
